@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from mlframe.llm import licenses, packing
+from mlframe.llm import language_id, licenses, packing, topk
 
 
 def queries() -> dict:
-    return {"op2_license_scan": licenses.op2_license_scan, "op4_packing": packing.op4_packing}
+    return {
+        "op1_language_id": language_id.op1_language_id,
+        "op2_license_scan": licenses.op2_license_scan,
+        "op4_packing": packing.op4_packing,
+        "op6_topk": topk.op6_topk,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_topk": topk.OP6_SQL}
