@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mlframe.llm import language_id, licenses, packing, topk
+from mlframe.llm import html_text, language_id, licenses, packing, topk, urls
 
 
 def queries() -> dict:
@@ -11,8 +11,10 @@ def queries() -> dict:
         "op2_license_scan": licenses.op2_license_scan,
         "op4_packing": packing.op4_packing,
         "op6_topk": topk.op6_topk,
+        "op8_url_filter": urls.op8_url_filter,
+        "op10_html_text": html_text.op10_html_text,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": topk.OP6_SQL}
+    return {"op6_topk": topk.OP6_SQL, "op8_url_filter": urls.OP8_SQL}
