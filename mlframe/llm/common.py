@@ -74,3 +74,14 @@ def text_slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) ->
             step = max(1, int(batch.num_rows * max_bytes / max(batch.nbytes, 1)))
             for at in range(0, batch.num_rows, step):
                 yield batch.slice(at, step)
+
+
+def map_arrow(df: DataFrame, run, schema: str, rows: int = 1000) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in record batches of at most ``rows`` rows: texts can be long, and both sides of the pipe hold whole batches.
+
+    Lowers the session's ``spark.sql.execution.arrow.maxRecordsPerBatch`` where it is higher.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key, "10000")) <= rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df.mapInArrow(run, schema)

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mlframe.llm.common import materialize, text_slices
+from mlframe.llm.common import map_arrow, materialize, text_slices
 from mlframe.llm.urls import host_and_path
 
 # Element names and attribute words by their part in a page (fixed values).
@@ -201,7 +201,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             found = [blocks_of(x) for x in batch.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([f[1] for f in found], pa.string())], names=names)
 
-    parsed = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.xxhash64(F.col(id_col), F.col(url_col)).alias("draw"), F.col(html_col)).mapInArrow(parse, "page_id long, url string, host string, draw long, texts array<string>, marks string")
+    parsed = map_arrow(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.xxhash64(F.col(id_col), F.col(url_col)).alias("draw"), F.col(html_col)), parse, "page_id long, url string, host string, draw long, texts array<string>, marks string")
     dealt = parsed.join(hot, "host", "left").withColumn("shard", F.coalesce(F.pmod("draw", F.ceil(F.col("chars") / F.lit(float(shard_chars)))), F.lit(0))).select("host", "shard", "page_id", "url", "texts", "marks")
 
     def work(group: pd.DataFrame) -> pd.DataFrame:

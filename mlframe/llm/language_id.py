@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mlframe.llm.common import mix64, text_slices
+from mlframe.llm.common import map_arrow, mix64, text_slices
 
 ORDER = 4
 #: Symbols beside letters: between words, and before a text.
@@ -214,7 +214,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
                 key, n = np.unique(grams(line)[line != EDGE], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), number[lang], np.int32)), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
-    counted = drawn.where(~apart).select("text", "lang").mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    counted = map_arrow(drawn.where(~apart).select("text", "lang"), count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     gram = counted["gram"].to_numpy().view(np.uint64)
     keys, at = np.unique(gram, return_inverse=True)
     counts = np.zeros((len(keys), len(languages)))
@@ -228,7 +228,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
             entropy, n = shared.value.cross_entropy(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(list(entropy), pa.list_(pa.float64())), pa.array(n), pa.array([number[x] for x in batch.column(1).to_pylist()], pa.int32())], names=["entropy", "n", "lang"])
 
-    seen = drawn.where(apart).select("text", "lang").mapInArrow(measure, "entropy array<double>, n long, lang int").where("n > 0").toArrow()
+    seen = map_arrow(drawn.where(apart).select("text", "lang"), measure, "entropy array<double>, n long, lang int").where("n > 0").toArrow()
     entropy = np.array(seen["entropy"].to_pylist(), np.float64).reshape(-1, n_lang)
     return calibrate(model, entropy, seen["n"].to_numpy().astype(float), seen["lang"].to_numpy(), reject_z)
 
@@ -245,7 +245,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             lang, score, entropy, z, rejected = shared.value.judge(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score), pa.array(entropy, from_pandas=True), pa.array(z, from_pandas=True), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "cross_entropy", "deviation", "rejected"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, lang_pred string, score double, cross_entropy double, deviation double, rejected boolean")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)), run, "doc_id long, lang_pred string, score double, cross_entropy double, deviation double, rejected boolean")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mlframe.llm.common import LOWER_ASCII, text_slices
+from mlframe.llm.common import LOWER_ASCII, map_arrow, text_slices
 
 #: Base phrases and their labels (fixed values).
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -180,7 +180,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             columns = [batch.column(0), *(pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types[1:], strict=True))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col)), run, SCHEMA)
 
 
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mlframe.llm.common import text_slices
+from mlframe.llm.common import map_arrow, text_slices
 
 SCHEMA = "doc_id long, start long, length long, {ids}, doc_tokens long, sequence_id long, offset long, padded_length long, cost double"
 
@@ -156,7 +156,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         if rows:
             yield out()
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col)), run, schema)
 
 
 def packing_report(pieces: DataFrame) -> DataFrame:
