@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mlframe.llm import html_text, language_id, licenses, packing, topk, urls
+from mlframe.llm import html_text, language_id, licenses, near_dedup, packing, topk, urls
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_license_scan": licenses.op2_license_scan,
         "op4_packing": packing.op4_packing,
         "op6_topk": topk.op6_topk,
+        "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_url_filter": urls.op8_url_filter,
         "op10_html_text": html_text.op10_html_text,
     }
