@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from mlframe.llm import html_text, language_id, licenses, near_dedup, packing, topk, urls
+from mlframe.llm import html_text, language_id, licenses, near_dedup, packing, substring_dedup, topk, urls
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language_id.op1_language_id,
         "op2_license_scan": licenses.op2_license_scan,
+        "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op4_packing": packing.op4_packing,
         "op6_topk": topk.op6_topk,
         "op7_near_dedup": near_dedup.op7_near_dedup,
