@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mlframe.llm import html_text, language_id, licenses, near_dedup, packing, substring_dedup, topk, urls
+from mlframe.llm import decontamination, html_text, language_id, licenses, near_dedup, packing, substring_dedup, topk, urls
 
 
 def queries() -> dict:
@@ -14,9 +14,10 @@ def queries() -> dict:
         "op6_topk": topk.op6_topk,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_url_filter": urls.op8_url_filter,
+        "op9_decontamination": decontamination.op9_decontamination,
         "op10_html_text": html_text.op10_html_text,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": topk.OP6_SQL, "op8_url_filter": urls.OP8_SQL}
+    return {"op6_topk": topk.OP6_SQL, "op8_url_filter": urls.OP8_SQL, "op9_decontamination": decontamination.OP9_SQL}
