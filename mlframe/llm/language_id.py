@@ -248,6 +248,18 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)), run, "doc_id long, lang_pred string, score double, cross_entropy double, deviation double, rejected boolean")
 
 
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text the models do not reject; no join, the text is judged where it is read."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, 2 << 20):
+            rejected = shared.value.judge(batch.column(batch.schema.get_field_index(text_col)).to_pylist())[4]
+            yield batch.filter(pa.array(~rejected))
+
+    return map_arrow(docs, run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Whether a document is kept from training: crc32 of its id as text leaves 2 when divided by 4 (a null id does not)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mlframe.llm import decontamination, html_text, language_id, licenses, near_dedup, packing, substring_dedup, topk, urls
+from mlframe.llm import decontamination, html_text, language_id, licenses, near_dedup, packing, secrets, substring_dedup, topk, urls
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_license_scan": licenses.op2_license_scan,
         "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op4_packing": packing.op4_packing,
+        "op5_secret_scan": secrets.op5_secret_scan,
         "op6_topk": topk.op6_topk,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_url_filter": urls.op8_url_filter,
