@@ -297,10 +297,11 @@ def dataset_queries() -> dict[str, Query]:
 
 
 def tensor_queries() -> dict[str, Query]:
-    a, b = F.col("l_quantity"), F.col("l_extendedprice")
-    element = {"add": a + b, "sub": a - b, "mul": a * b, "scaled": a * 2.5, "shifted": a + 1.5, "absolute": F.abs(a - 25), "sign": X.sign(a - 25), "larger": X.maximum(a, b / 1000), "exponential": F.exp(a / 50), "logarithm": X.ieee_ln(a), "root": F.sqrt(a), "quotient": X.ieee_div(b, a)}
-    element_sql = {"add": "a + b", "sub": "a - b", "mul": "a * b", "scaled": "a * 2.5", "shifted": "a + 1.5", "absolute": "abs(a - 25)", "sign": "CAST(sign(a - 25) AS DOUBLE)", "larger": "greatest(a, b / 1000)", "exponential": "exp(a / 50)", "logarithm": "ln(a)", "root": "sqrt(a)", "quotient": "b / a"}
-    edge: dict[str, Column] = {"div": X.ieee_div("y", "x"), "ln": X.ieee_ln("x"), "sign": X.sign("x"), "larger": X.maximum("x", "y"), "sigmoid": X.sigmoid("x")}
+    def element() -> dict[str, Column]:
+        a, b = F.col("l_quantity"), F.col("l_extendedprice")
+        return {"add": a + b, "sub": a - b, "mul": a * b, "scaled": a * 2.5, "shifted": a + 1.5, "absolute": F.abs(a - 25), "sign": X.sign(a - 25), "larger": X.maximum(a, b / 1000), "exponential": F.exp(a / 50), "logarithm": X.ieee_ln(a), "root": F.sqrt(a), "quotient": X.ieee_div(b, a + 0.37)}
+    element_sql = {"add": "a + b", "sub": "a - b", "mul": "a * b", "scaled": "a * 2.5", "shifted": "a + 1.5", "absolute": "abs(a - 25)", "sign": "CAST(sign(a - 25) AS DOUBLE)", "larger": "greatest(a, b / 1000)", "exponential": "exp(a / 50)", "logarithm": "ln(a)", "root": "sqrt(a)", "quotient": "b / (a + 0.37::DOUBLE)"}
+    edge = lambda: {"div": X.ieee_div("y", "x"), "ln": X.ieee_ln("x"), "sign": X.sign("x"), "larger": X.maximum("x", "y"), "sigmoid": X.sigmoid("x")}
     shown = lambda c: F.when(F.isnan(c), F.lit("nan")).when(c == float("inf"), F.lit("inf")).when(c == float("-inf"), F.lit("-inf")).otherwise(F.format_number(c, 4))
     sized = lambda c: f"CASE WHEN isnan({c}) THEN 'nan' WHEN {c} = 'inf'::DOUBLE THEN 'inf' WHEN {c} = '-inf'::DOUBLE THEN '-inf' ELSE format('{{:,.4f}}', {c}) END"
     regions = lambda s, d: table(s, d, "region").select("r_regionkey", F.when(F.col("r_regionkey") == 4, F.lit(float("nan"))).otherwise(F.col("r_regionkey") - 1.0).alias("x"), (F.col("r_regionkey") - 1.0).alias("y"))
@@ -315,8 +316,8 @@ def tensor_queries() -> dict[str, Query]:
     vectors = lambda s, d: rounded(table(s, d, "embeddings").select("vec_id", X.array_sum("embedding").alias("total"), X.array_mean("embedding").alias("mean"), X.array_dot("embedding", "embedding").alias("squares"), X.array_sum(X.array_op("embedding", "embedding", lambda x, y: x.cast("double") + y.cast("double"))).alias("doubled")))
     made = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
     return {
-        "tensor_elementwise": Query(lambda s, d: rounded(line(s, d).select(*KEYS, *[c.alias(k) for k, c in element.items()])), f"SELECT l_orderkey, l_linenumber, {', '.join(r(e, k) for k, e in element_sql.items())} FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS a, CAST(l_extendedprice AS DOUBLE) AS b FROM lineitem)"),
-        "tensor_ieee_edges": Query(lambda s, d: regions(s, d).select("r_regionkey", *[shown(c).alias(k) for k, c in edge.items()]), f"WITH e AS (SELECT r_regionkey, CASE WHEN r_regionkey = 4 THEN 'nan'::DOUBLE ELSE r_regionkey - 1.0::DOUBLE END AS x, r_regionkey - 1.0::DOUBLE AS y FROM region), v AS (SELECT r_regionkey, {', '.join(f'{e} AS {k}' for k, e in edge_sql.items())} FROM e) SELECT r_regionkey, {', '.join(f'{sized(k)} AS {k}' for k in edge_sql)} FROM v"),
+        "tensor_elementwise": Query(lambda s, d: rounded(line(s, d).select(*KEYS, *[c.alias(k) for k, c in element().items()])), f"SELECT l_orderkey, l_linenumber, {', '.join(r(e, k) for k, e in element_sql.items())} FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS a, CAST(l_extendedprice AS DOUBLE) AS b FROM lineitem)"),
+        "tensor_ieee_edges": Query(lambda s, d: regions(s, d).select("r_regionkey", *[shown(c).alias(k) for k, c in edge().items()]), f"WITH e AS (SELECT r_regionkey, CASE WHEN r_regionkey = 4 THEN 'nan'::DOUBLE ELSE r_regionkey - 1.0::DOUBLE END AS x, r_regionkey - 1.0::DOUBLE AS y FROM region), v AS (SELECT r_regionkey, {', '.join(f'{e} AS {k}' for k, e in edge_sql.items())} FROM e) SELECT r_regionkey, {', '.join(f'{sized(k)} AS {k}' for k in edge_sql)} FROM v"),
         "tensor_col_stats": Query(stats, stats_sql),
         "tensor_matvec": Query(mat, f"SELECT l_orderkey, l_linenumber, {r('l_quantity + l_discount + l_tax', 'total')}, {r('l_quantity - 2 * l_discount + 0.5 * l_tax', 'product')}, {r('l_quantity + 4.0::DOUBLE', 'b_add')}, {r('l_quantity - 4.0::DOUBLE', 'b_sub')}, {r('l_quantity * 4.0::DOUBLE', 'b_mul')}, {r('l_quantity / 4.0::DOUBLE', 'b_div')} FROM lineitem"),
         "tensor_tdot": Query(lambda s, d: rounded(line(s, d).agg(*tensor.matvec_transposed(FEATURES, "l_extendedprice")), 1), f"SELECT {', '.join(r(f'sum(CAST({c} AS DOUBLE) * CAST(l_extendedprice AS DOUBLE))', c, 1) for c in FEATURES)} FROM lineitem"),
