@@ -28,7 +28,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup sidebar sidebars widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments commentlist respond disqus discussion replies share sharing social related recommended recommendations trending toolbar pagination pager copyright disclaimer".split())
 PAGE_WORDS = frozenset("header".split())  # only outside the main element, where a header is the page's
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z][^<>]*\Z|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 #: Elements that an opening tag of the same group ends, if they are open and nothing else is in between.
@@ -55,7 +55,7 @@ def is_boilerplate(name: str, attributes: str, inside_main: bool) -> bool:
 def blocks_of(page: str | None) -> tuple[list[str], str]:
     """The page's blocks in order, and a mark for each: c within article or main, b where markup says boilerplate, u outside both.
 
-    Character references are decoded, white space becomes one space, empty blocks are left out. Unclosed elements end with the element around them; comments, scripts and styles have no text; a < that starts no tag is text.
+    Character references are decoded, white space becomes one space, empty blocks are left out. Unclosed elements end with the element around them; comments, scripts and styles have no text; a < that starts no tag is text, a tag cut off by the end is not.
     """
     texts, marks, piece = [], [], []
     stack: list[tuple[str, bool, bool]] = []  # name, boilerplate here or above, main here or above
