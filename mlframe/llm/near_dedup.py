@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from mlframe.llm.common import LOWER_ASCII, WordHashes, map_arrow, materialize, mix64, text_slices
 from mlframe.llm.components import connected_components
 
-#: Bits of an odd sketch.
+#: Bits of the odd sketch of every document, and samples and bits of the sharper one that documents of unsettled buckets get.
 SKETCH_BITS = 256
+SHARP_SAMPLES, SHARP_BITS = 2048, 4096
+_LAST = np.iinfo(np.int64).max
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,24 +55,24 @@ def minhash(sets: list[np.ndarray], samples: int) -> np.ndarray:
     return out
 
 
-def odd_sketch(signature: np.ndarray) -> np.ndarray:
-    """Parity bitmap of each row's samples: every (position, value) flips one of SKETCH_BITS bits; four 64-bit words a row."""
+def odd_sketch(signature: np.ndarray, bits: int) -> np.ndarray:
+    """Parity bitmap of each row's samples: every (position, value) flips one of ``bits`` bits; bits / 64 numbers a row."""
     rows, samples = signature.shape
-    bit = mix64(signature + np.arange(samples, dtype=np.uint64) * _SPREAD) & np.uint64(SKETCH_BITS - 1)
-    at = np.arange(rows)[:, None] * SKETCH_BITS + bit.astype(np.int64)
-    parity = (np.bincount(at.ravel(), minlength=rows * SKETCH_BITS) & 1).astype(np.uint8).reshape(rows, SKETCH_BITS)
+    bit = mix64(signature + np.arange(samples, dtype=np.uint64) * _SPREAD) & np.uint64(bits - 1)
+    at = np.arange(rows)[:, None] * bits + bit.astype(np.int64)
+    parity = (np.bincount(at.ravel(), minlength=rows * bits) & 1).astype(np.uint8).reshape(rows, bits)
     return np.packbits(parity, axis=1, bitorder="little").view("<u8")
 
 
-def most_flips(samples: int, threshold: float, deviations: float = 6.0) -> int:
+def most_flips(samples: int, bits: int, threshold: float, deviations: float = 5.5) -> int:
     """Set bits of the XOR of two odd sketches that a pair of similarity ``threshold`` exceeds only ``deviations`` standard deviations out.
 
-    The estimate is 1 + bits / (4 samples) * ln(1 - 2 flips / bits); its spread has the MinHash part and the part from samples that share a bit.
+    A pair of similarity s is expected to differ in bits / 2 * (1 - exp(-4 samples (1 - s) / bits)) bits; the spread has the part of the MinHash samples and the part of samples that share a bit.
     """
-    spread = math.sqrt(threshold * (1 - threshold) / samples)
-    low = max(0.0, threshold - deviations * spread)
-    mean = SKETCH_BITS / 2 * (1 - math.exp(-4 * samples * (1 - low) / SKETCH_BITS))
-    return min(SKETCH_BITS, math.ceil(mean + deviations * math.sqrt(SKETCH_BITS) / 4))
+    load = 4 * samples * (1 - threshold) / bits
+    mean, slope = bits / 2 * (1 - math.exp(-load)), 2 * samples * math.exp(-load)
+    variance = slope**2 * threshold * (1 - threshold) / samples + bits / 4 * (1 - math.exp(-2 * load))
+    return min(bits, math.ceil(mean + deviations * math.sqrt(variance)))
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
@@ -87,7 +89,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, bands: in
                 keys = np.zeros((len(full), bands), np.uint64) + np.arange(bands, dtype=np.uint64)
                 for r in range(rows):
                     keys = mix64(keys * _SPREAD ^ signature[:, r::rows])
-                for k, b, o in zip(full, keys.view(np.int64), odd_sketch(signature).view(np.int64), strict=True):
+                for k, b, o in zip(full, keys.view(np.int64), odd_sketch(signature, SKETCH_BITS).view(np.int64), strict=True):
                     band[k], sketch[k] = b, o
             digest = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8") for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -111,6 +113,17 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size:
     return map_arrow(some, run, "doc_id long, items array<long>")
 
 
+def sharp_sketches(sets: DataFrame) -> DataFrame:
+    """doc_id and sharp (odd sketch of SHARP_SAMPLES samples, as bytes) from full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, 1 << 20):
+            sketch = odd_sketch(minhash([x.values.to_numpy().view(np.uint64) for x in batch.column(1)], SHARP_SAMPLES), SHARP_BITS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in sketch], pa.binary())], names=["doc_id", "sharp"])
+
+    return map_arrow(sets.select("doc_id", "items"), run, "doc_id long, sharp binary")
+
+
 def flips(a: Column, b: Column) -> Column:
     return sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(1, SKETCH_BITS // 64)), F.bit_count(a[0].bitwiseXOR(b[0])))
 
@@ -124,9 +137,9 @@ def confirm(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int)
 
 
 def cross_pairs(rows: DataFrame, limit: int) -> DataFrame:
-    """Pairs (a, b) of documents of one bucket but different components whose sketches differ in at most ``limit`` bits.
+    """Pairs (a, b) of documents of one bucket but different components whose sharp sketches differ in at most ``limit`` bits.
 
-    ``rows``: bucket, doc_id, comp, sketch, main (component of the bucket's hub), hub, n (rows of the bucket). Documents outside the main component meet all others; large buckets are cut into cells of bounded size, in which the outsiders of one part meet the documents of another, so that no task holds a bucket and no pair is written that the sketches rule out.
+    ``rows``: bucket, doc_id, comp, sharp, bands, main (component of the bucket's hub), hub, n (rows of the bucket). Documents outside the main component meet all others; large buckets are cut into cells of bounded size, in which the outsiders of one part meet the documents of another, so that no task holds a bucket and no pair is written that the sketches rule out. Of the buckets that a pair shares, only the one of smallest number writes it.
     """
     tiles, parts = F.ceil(F.col("n") / 2048).cast("int"), F.ceil(F.col("n") / 16384).cast("int")
     other = F.col("comp") != F.col("main")
@@ -134,7 +147,7 @@ def cross_pairs(rows: DataFrame, limit: int) -> DataFrame:
     span = lambda count: F.sequence(F.lit(0), count - 1)
     as_target = F.transform(span(parts), lambda p: F.struct(p.alias("part"), mine(tiles, 1).alias("tile"), F.lit(False).alias("left")))
     as_left = F.transform(span(tiles), lambda t: F.struct(mine(parts, 2).alias("part"), t.alias("tile"), F.lit(True).alias("left")))
-    cells = rows.where(F.col("doc_id") != F.col("hub")).withColumn("cell", F.explode(F.when(other, F.concat(as_target, as_left)).otherwise(as_target))).select("bucket", "cell.*", "doc_id", "comp", "sketch")
+    cells = rows.where(F.col("doc_id") != F.col("hub")).withColumn("cell", F.explode(F.when(other, F.concat(as_target, as_left)).otherwise(as_target))).select("bucket", "cell.*", "doc_id", "comp", "sharp", "bands")
     cells = cells.repartition("bucket", "part", "tile").sortWithinPartitions("bucket", "part", "tile")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,12 +156,15 @@ def cross_pairs(rows: DataFrame, limit: int) -> DataFrame:
         def meet():
             if len(held) < 2:
                 return
-            left, ids, comp, sketch = (np.array([h[k] for h in held]) for k in range(4))
-            sketch = sketch.view(np.uint64)
+            left, ids, comp = (np.array([h[k] for h in held]) for k in range(3))
+            sketch = np.frombuffer(b"".join(h[3] for h in held), "<u8").reshape(len(held), -1)
+            bands = np.stack([h[4] for h in held])
             target = np.flatnonzero(~left)
             for at in np.flatnonzero(left):
                 differ = np.bitwise_count(sketch[target] ^ sketch[at]).sum(1) <= limit
-                for t in target[differ & (comp[target] != comp[at])]:
+                near = target[differ & (comp[target] != comp[at])]
+                shared = np.where(bands[near] == bands[at], bands[near], _LAST).min(1)
+                for t in near[shared == key[0]]:
                     found.append((min(ids[t], ids[at]), max(ids[t], ids[at])))
 
         def out():
@@ -157,13 +173,14 @@ def cross_pairs(rows: DataFrame, limit: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         for batch in batches:
-            for b, p, t, left, doc, comp, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            bands = batch.column(7).flatten().to_numpy().reshape(batch.num_rows, -1)
+            for b, p, t, left, doc, comp, sketch, own in zip(*(c.to_pylist() for c in batch.columns[:7]), bands, strict=True):
                 if (b, p, t) != key:
                     meet()
                     key, held = (b, p, t), []
                     if len(found) > 50_000:
                         yield out()
-                held.append((left, doc, comp, sketch))
+                held.append((left, doc, comp, sketch, own))
         meet()
         yield out()
 
@@ -173,7 +190,7 @@ def cross_pairs(rows: DataFrame, limit: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, numerator: int = 80, denominator: int = 100, bands: int = 32, rows: int = 4) -> DataFrame:
     """Groups documents whose sets of ``shingle``-word runs have similarity numerator / denominator or more, directly or through others.
 
-    Words are runs without ASCII white space, A-Z lower-cased. Steps: (1) per document its set's digest, MinHash bands and the odd sketch of its samples; (2) documents of equal sets become one class; (3) each band's bucket links its classes to its smallest id, sketches rule out what is far below the threshold, full sets confirm the rest, and links give components; (4) in buckets that still hold several components, documents of different components meet, again by sketch and then full sets, so no link between different texts is lost to the hub; (5) components over all links. A pair of similarity s shares no bucket with chance (1 - s**rows)**bands: 5e-8 at 0.8.
+    Words are runs without ASCII white space, A-Z lower-cased. Steps: (1) per document its set's digest, MinHash bands and the odd sketch of its samples; (2) documents of equal sets become one class; (3) each band's bucket links its classes to a hub, the class that meets most others over all buckets, sketches rule out what is far below the threshold, full sets confirm the rest, and links give components; (4) in buckets that still hold several components, documents of different components meet by sharper sketches, made for these documents only, and then full sets, so no link between different texts is lost to the hub; (5) components over all links. A pair of similarity s shares no bucket with chance (1 - s**rows)**bands: 5e-8 at 0.8.
 
     Columns: doc_id, n_shingles, component_id (smallest id reachable), kept (doc_id = component_id). One row per row of ``docs``. Texts that are null or without words have no shingles and are linked with nothing; with fewer words than ``shingle`` the whole sequence is one shingle. Rows of a null id are linked with nothing: component_id null, kept false. Repeated rows share their component. An empty table gives none; other columns are not read.
     """
@@ -182,22 +199,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = real.groupBy("high", "low").agg(F.min("doc_id").alias("rep"))
     heads = materialize(real.join(classes, ["high", "low"]).where("doc_id = rep").select("doc_id", "bands", "sketch").dropDuplicates(["doc_id"]))
     banded = heads.select("doc_id", F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    busy = materialize(banded.join(buckets, "bucket"))
-    limit = most_flips(bands * rows, numerator / denominator)
+    busy = materialize(banded.join(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"))
+    company = busy.groupBy("doc_id").agg(F.sum("n").alias("company"))
+    hubs = busy.join(company, "doc_id").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("doc_id")).alias("minus"))).alias("m")).select("bucket", (-F.col("m.minus")).alias("hub"))
+    busy = materialize(busy.join(hubs, "bucket"))
+    threshold = numerator / denominator
+    limit = most_flips(bands * rows, SKETCH_BITS, threshold)
 
     def sketched(pairs: DataFrame) -> DataFrame:
         side = lambda name: heads.select(F.col("doc_id").alias(name), F.col("sketch").alias(f"sketch_{name}"))
         return pairs.join(side("b"), "b").join(side("a"), "a").where(flips(F.col("sketch_a"), F.col("sketch_b")) <= limit).select("a", "b")
 
     sets = materialize(full_sets(docs, busy.select("doc_id").distinct(), id_col, text_col, shingle).dropDuplicates(["doc_id"]))
-    first = materialize(confirm(sketched(busy.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()), sets, numerator, denominator))
+    spokes = busy.where("doc_id <> hub").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
+    first = materialize(confirm(sketched(spokes), sets, numerator, denominator))
     groups = connected_components(first)
-    comp = lambda df, key, name: df.join(groups.select(F.col("node").alias(key), F.col("component").alias("c")), key, "left").withColumn(name, F.coalesce("c", key)).drop("c")
-    placed = comp(busy, "doc_id", "comp")
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.max(F.when(F.col("doc_id") == F.col("hub"), F.col("comp"))).alias("main")).where("least <> most").select("bucket", "main")
-    open_ = placed.where("n > 2").join(mixed, "bucket").join(heads.select("doc_id", "sketch"), "doc_id")
-    second = confirm(cross_pairs(open_, limit), sets, numerator, denominator)
+    placed = busy.join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("bucket", "doc_id", "n", "hub", F.coalesce("component", "doc_id").alias("comp"))
+    mixed = placed.where("n > 2").groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.max(F.when(F.col("doc_id") == F.col("hub"), F.col("comp"))).alias("main")).where("least <> most").select("bucket", "main")
+    open_ = materialize(placed.join(mixed, "bucket"))
+    sharp = sharp_sketches(sets.join(open_.select("doc_id").distinct(), "doc_id", "left_semi"))
+    near = cross_pairs(open_.join(sharp, "doc_id").join(heads.select("doc_id", "bands"), "doc_id"), most_flips(SHARP_SAMPLES, SHARP_BITS, threshold))
+    second = confirm(near, sets, numerator, denominator)
     groups = connected_components(first.unionAll(second))
     member = base.join(classes, ["high", "low"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")))
     done = member.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
