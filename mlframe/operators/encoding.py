@@ -42,11 +42,10 @@ class OneHotModel(Model):
     def outputs(self, columns: list[Column]) -> list[tuple[str, Column]]:
         out = []
         for name, c, categories in zip(self.input_cols, columns, self.categories, strict=True):
-            near = [~missing(c) & (F.abs(c - k) < NEAR) for k in categories]
-            known = F.coalesce(*[F.when(x, F.lit(True)) for x in near], F.lit(False)) if near else F.lit(False)
-            for k, x in zip(categories, near, strict=True):
-                value = F.when(x, F.lit(1.0)).otherwise(F.lit(0.0))
-                out.append((f"{name}_{k}", value if self.unknown == "ignore" else F.when(known, value).otherwise(stop(f"unknown category in {name}", "double"))))
+            whole = F.round(c)
+            known = ~missing(c) & (F.abs(c - whole) < NEAR) & whole.isin([float(k) for k in categories])
+            other = F.lit(0.0) if self.unknown == "ignore" else F.when(known, F.lit(0.0)).otherwise(stop(f"unknown category in {name}", "double"))
+            out += [(f"{name}_{k}", F.when(~missing(c) & (F.abs(c - k) < NEAR), F.lit(1.0)).otherwise(other)) for k in categories]
         return out
 
     def inverse_outputs(self, columns: list[Column]) -> list[tuple[str, Column]]:
