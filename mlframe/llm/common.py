@@ -25,26 +25,45 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back: cuts the lineage, survives lost executors.
+def output_files(df: DataFrame, bytes_each: int = 1 << 30) -> int:
+    """Into how many files to write a result: two a core, or one for every ``bytes_each`` of the tables that it reads, if that is more; so tasks stay short on large inputs, and small results do not become thousands of files."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()) if leaves.apply(k).getClass().getSimpleName().startswith("LogicalRelation"))
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-read // bytes_each))
 
-    The files are removed when the application ends.
+
+def materialize(df: DataFrame, table: bool = False) -> DataFrame:
+    """Writes ``df`` into the shared folder and goes on from there: cuts the lineage, survives lost executors.
+
+    By ``checkpoint()``; with ``table``, for rows with long strings, as compressed Parquet, removed when the application ends. Either way in :func:`output_files` files at most, whatever the number of shuffle partitions. Shuffle files that the written rows replace are freed at once.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/mlframe-{uuid.uuid4().hex}"
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # the written table replaces the shuffle files
+    folder = shared_dir(spark).rstrip("/")
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
+    few = df.coalesce(output_files(df))
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        if not table:
+            return few.checkpoint()
+        path = f"{folder}/mlframe-{uuid.uuid4().hex}"
+        few.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(key, before)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Removes the files of a table that :func:`materialize` wrote and nothing reads any more."""
+    spark = table.sparkSession
+    for file in table.inputFiles()[:1]:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if place.getName().startswith("mlframe-"):
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit integers that spreads all bits (the SplitMix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)
@@ -82,7 +101,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) ->
                 yield batch.slice(at, step)
 
 
-def map_arrow(df: DataFrame, run, schema: str, rows: int = 1000) -> DataFrame:
+def map_arrow(df: DataFrame, run, schema, rows: int = 1000) -> DataFrame:
     """``df.mapInArrow(run, schema)`` in record batches of at most ``rows`` rows: texts can be long, and both sides of the pipe hold whole batches.
 
     Lowers the session's ``spark.sql.execution.arrow.maxRecordsPerBatch`` where it is higher.

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mlframe.llm.common import WordHashes, map_arrow, materialize, mix64, text_slices
+from mlframe.llm.common import WordHashes, discard, map_arrow, materialize, mix64, text_slices
 
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,14 +95,30 @@ def earliest(texts: list[list], documents: list[int], least: int) -> list[list[i
 def minimizers(words: np.ndarray, least: int, gram: int) -> np.ndarray:
     """For each window of ``least`` words, the smallest hash of its runs of ``gram`` words: equal windows have equal ones."""
     n = len(words) - gram + 1
-    value = np.zeros(n, np.uint64)
-    for k in range(gram):
-        value = (value * _SPREAD) ^ mix64(words[k : n + k] + np.uint64(k))
+    value = words[:n].copy()
+    for k in range(1, gram):
+        value *= _SPREAD
+        value += words[k : n + k]
     value = mix64(value)
-    out = value[: n - least + gram].copy()
-    for k in range(1, least - gram + 1):
-        np.minimum(out, value[k : n - least + gram + k], out=out)
-    return out
+    span = least - gram + 1  # runs in a window; minima of 1, 2, 4, ... of them
+    have = 1
+    while have < span:
+        step = min(have, span - have)
+        value = np.minimum(value[:-step], value[step:])
+        have += step
+    return value
+
+
+def windows_of(texts: list[list[bytes]], hashes: WordHashes, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts in a row: each window's minimizer, its text's number, and its first word's number in that text."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    if sizes.sum() < least:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    value = minimizers(hashes.of([w for t in texts for w in t]), least, gram)
+    text = np.repeat(np.arange(len(texts)), sizes)
+    first = (np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[: len(value)]
+    whole = text[: len(value)] == text[least - 1 :]
+    return value[whole], text[: len(value)][whole], first[whole]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -112,7 +128,7 @@ def words_of(text: str | None) -> list[bytes]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 13, gram: int = 5, shard_segments: int = 4096) -> DataFrame:
     """Removes every word in a run of ``least`` words that also stands in a document of smaller id; judged on the input.
 
-    Words are runs without ASCII white space, unchanged. Sending every shard's automaton to all documents would cost shards times documents, so documents go to the shards that can match: consecutive windows of one minimizer (the smallest hash of the ``gram``-word runs inside) make a segment, and equal windows have the same minimizer. (1) Minimizers that stand in more than one document are found by an aggregate with partial sums. (2) Only documents that have some cut segments, and only for those. (3) Equal segments become one, with their smallest document. (4) Segments of a minimizer meet in one shard; its suffix automaton holds all of them, every segment is streamed through it, and the matching statistics give each window's smallest document. A minimizer of more than ``shard_segments`` different segments is cut into single windows that are dealt by their own text, so no shard grows with it. (5) Windows found in a smaller document go back to the documents and their union is removed.
+    Words are runs without ASCII white space, unchanged. Sending every shard's automaton to all documents would cost shards times documents, so documents go to the shards that can match: consecutive windows of one minimizer (the smallest hash of the ``gram``-word runs inside) make a segment, and equal windows have the same minimizer. (1) Minimizers that stand in more than one document are found by an aggregate with partial sums. (2) Only documents that have some cut segments, and only for those. (3) Equal segments (of one minimizer and one 64-bit hash) become one, with their smallest document. (4) Segments of a minimizer meet in one shard; its suffix automaton holds all of them, every segment is streamed through it, and the matching statistics give each window's smallest document. A minimizer of more than ``shard_segments`` different segments is cut into single windows that are dealt by their own text, so no shard grows with it. (5) Windows found in a smaller document go back to the documents and their union is removed.
 
     Columns: doc_id, n_words, n_removed, kept (the words left, joined by one space), spans (array of struct(start, stop): the removed runs, as word numbers). One row per row of ``docs``. Null text: no words, kept empty. Rows of a null id lose nothing and count for nothing. Repeated rows of one id are one document: none is earlier than the other. An empty table gives none; other columns are not read.
     """
@@ -120,16 +136,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in text_slices(batches):
-            ids, found = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(text)
-                if len(words) >= least:
-                    mine = np.unique(minimizers(hashes.of(words), least, gram))
-                    found.append(mine)
-                    ids.append(np.full(len(mine), doc, np.int64))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(ids))], names=["print", "doc_id"])
+        for batch in text_slices(batches, 2 << 20):
+            value, text, _ = windows_of([words_of(t) for t in batch.column(1).to_pylist()], hashes, least, gram)
+            if len(value):
+                new = np.append(True, (value[1:] != value[:-1]) | (text[1:] != text[:-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(value[new].view(np.int64)), batch.column(0).take(pa.array(text[new]))], names=["print", "doc_id"])
 
     marked = map_arrow(source.where("doc_id is not null and text is not null"), prints, "print long, doc_id long")
     shared = marked.groupBy("print").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("print")
@@ -138,39 +149,45 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in text_slices(batches, 2 << 20):
-            rows = []
-            for doc, text, mine in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                words = words_of(text)
-                if len(words) < least:
-                    continue
-                window = minimizers(hashes.of(words), least, gram)
-                edge = np.flatnonzero(window[1:] != window[:-1]) + 1
-                first, last = np.append(0, edge), np.append(edge, len(window))
-                ours = np.isin(window[first], mine.values.to_numpy().view(np.uint64))
-                for a, b in zip(first[ours].tolist(), last[ours].tolist(), strict=True):
-                    rows.append((int(window[a].view(np.int64)), doc, a, b" ".join(words[a : b + least - 1])))
-            if rows:
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.binary()).cast(pa.string())], names=["print", "doc_id", "start", "words"])
-
-    places = map_arrow(source.join(hits, "doc_id"), cut, "print long, doc_id long, start long, words string")
-    places = materialize(places.withColumn("segment", F.sha2("words", 256).substr(1, 32)))
-    segments = materialize(places.groupBy("segment").agg(F.first("print").alias("print"), F.min("doc_id").alias("doc_id"), F.first("words").alias("words")))
+            texts = [words_of(t) for t in batch.column(1).to_pylist()]
+            value, text, first = windows_of(texts, hashes, least, gram)
+            if not len(value):
+                continue
+            edge = np.flatnonzero((value[1:] != value[:-1]) | (text[1:] != text[:-1])) + 1
+            start, stop = np.append(0, edge), np.append(edge, len(value)) - 1
+            shared = np.zeros(len(start), bool)
+            number, known = text[start], batch.column(2)
+            for k, at, to in zip(*np.unique(number, return_index=True), np.append(np.unique(number, return_index=True)[1][1:], len(number)), strict=True):
+                shared[at:to] = np.isin(value[start[at:to]], known[int(k)].values.to_numpy().view(np.uint64))
+            start, stop, number = start[shared], stop[shared], number[shared]
+            words = [b" ".join(texts[t][a : b + least]) for t, a, b in zip(number.tolist(), first[start].tolist(), first[stop].tolist(), strict=True)]
+            if words:
+                yield pa.RecordBatch.from_arrays([pa.array(value[start].view(np.int64)), batch.column(0).take(pa.array(number)), pa.array(first[start]), pa.array(words, pa.binary()).cast(pa.string())], names=["print", "doc_id", "start", "words"])
+
+    cuts = map_arrow(source.join(hits, "doc_id"), cut, "print long, doc_id long, start long, words string")
+    cuts = materialize(cuts.withColumn("segment", F.xxhash64("words")), table=True)
+    segments = materialize(cuts.groupBy("print", "segment").agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words")), table=True)
+    places = materialize(cuts.select("print", "segment", "doc_id", "start"), table=True)
+    discard(cuts)
     crowded = materialize(segments.groupBy("print").agg(F.count("*").alias("n")).where(F.col("n") > shard_segments).select("print", F.lit(True).alias("crowded")))
     shards = max(1, segments.count() // shard_segments)
     if crowded.count() <= 100_000:
         crowded = F.broadcast(crowded)
     window = F.transform(F.sequence(F.lit(0), F.size("w") - least), lambda k: F.struct(k.cast("long").alias("shift"), F.array_join(F.slice("w", k + 1, least), " ").alias("words")))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("shift"), F.col("words").alias("words")))
-    dealt = segments.join(crowded, "print", "left").withColumn("w", F.when(F.col("crowded"), F.split("words", " "))).select("segment", "print", "crowded", "doc_id", F.explode(F.when(F.col("crowded"), window).otherwise(whole)).alias("part")).select("segment", "doc_id", "part.*", F.when(F.col("crowded"), F.xxhash64("part.words")).otherwise(F.col("print")).alias("key"))
+    dealt = segments.join(crowded, "print", "left").withColumn("w", F.when(F.col("crowded"), F.split("words", " "))).select("print", "segment", "crowded", "doc_id", F.explode(F.when(F.col("crowded"), window).otherwise(whole)).alias("part")).select("print", "segment", "doc_id", "part.*", F.when(F.col("crowded"), F.xxhash64("part.words")).otherwise(F.col("print")).alias("key"))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
 
     def match(group: pd.DataFrame) -> pd.DataFrame:
-        texts = [t.split(" ") for t in group["words"]]
-        return pd.DataFrame({"segment": group["segment"], "shift": group["shift"], "first": earliest(texts, group["doc_id"].tolist(), least)})
-
-    found = dealt.groupBy("shard").applyInPandas(match, "segment string, shift long, first array<long>")
-    late = places.select("segment", "doc_id", "start").join(found, "segment")
+        twin = group["key"].duplicated(keep=False).to_numpy()  # a key of one segment: all its windows are that segment's own
+        texts, documents = group["words"].tolist(), group["doc_id"].tolist()
+        mixed = np.flatnonzero(twin)
+        found = dict(zip(mixed.tolist(), earliest([texts[k].split(" ") for k in mixed], [documents[k] for k in mixed], least), strict=True))
+        first = [found[k] if k in found else [documents[k]] * (texts[k].count(" ") + 2 - least) for k in range(len(texts))]
+        return pd.DataFrame({"print": group["print"], "segment": group["segment"], "shift": group["shift"], "first": first})
+
+    found = dealt.groupBy("shard").applyInPandas(match, "print long, segment long, shift long, first array<long>")
+    late = places.join(found, ["print", "segment"])
     gone = late.select("doc_id", F.col("start") + F.col("shift"), "first").toDF("doc_id", "start", "first")
     gone = gone.select("doc_id", F.transform(F.filter(F.transform("first", lambda d, k: F.struct(d.alias("d"), k.alias("k"))), lambda x: x["d"] < F.col("doc_id")), lambda x: F.col("start") + x["k"]).alias("at")).where(F.size("at") > 0)
     gone = gone.groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("at"))
