@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from mlframe.errors import EmptyData, InvalidParameter, NumericalError
 from mlframe.operators.linear import SGD, LinearModel, Loss, NoRegularizer
 from mlframe.plans.fusion import need_columns
+from mlframe.plans.workers import let_workers_import
 from mlframe.sources.dataset import with_batches
 
 
@@ -120,6 +121,7 @@ class Trainer:
                         own = own - rate * (x[part].T @ loss.slope_array(score, y[part]) / len(score) + ridge * own)
             return pd.DataFrame({"model": [group["model"].iloc[0]], "theta": [own.tolist()], "loss": [last / len(y)]})
 
+        let_workers_import(rows.sparkSession)
         if rows.isEmpty():
             raise EmptyData("no rows to fit on")
         kind = rows.schema["model"].dataType.simpleString()
