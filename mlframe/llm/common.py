@@ -11,6 +11,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from mlframe.plans.workers import let_workers_import
+
 #: A-Z to a-z; every other byte, and so every non-ASCII character, stays.
 LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -106,6 +108,7 @@ def map_arrow(df: DataFrame, run, schema, rows: int = 1000) -> DataFrame:
 
     Lowers the session's ``spark.sql.execution.arrow.maxRecordsPerBatch`` where it is higher.
     """
+    let_workers_import(df.sparkSession)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(df.sparkSession.conf.get(key, "10000")) <= rows:
         df.sparkSession.conf.set(key, str(rows))

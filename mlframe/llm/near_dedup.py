@@ -230,3 +230,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Contract query: three-word shingles, similarity 0.85."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, numerator=85)
+
+
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' ')) ELSE [array_to_string(w, ' ')] END) AS s
+  FROM d WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b USING (s) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, b.b FROM reach r JOIN both_ways b ON b.a = r.other),
+m AS (SELECT node, min(other) AS least FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.least, d.doc_id) AS component_id, d.doc_id = coalesce(m.least, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.node = d.doc_id
+"""

@@ -21,4 +21,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": topk.OP6_SQL, "op8_url_filter": urls.OP8_SQL, "op9_decontamination": decontamination.OP9_SQL}
+    return {
+        "op3_substring_dedup": substring_dedup.OP3_SQL,
+        "op6_topk": topk.OP6_SQL,
+        "op7_near_dedup": near_dedup.OP7_SQL,
+        "op8_url_filter": urls.OP8_SQL,
+        "op9_decontamination": decontamination.OP9_SQL,
+    }

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mlframe.plans.workers import let_workers_import
+
 #: How far the lists are read before each look at the bounds, as shares of their length.
 DEPTHS = (0.5, 0.75, 0.875, 0.9375)
 RESULT = "query_id long, vec_id long, score long"
@@ -81,6 +83,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "vec
         whole = F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
         return df.where(F.col(id_col).isNotNull() & vector.isNotNull()).where(whole).where(F.size(vector) > 0).select(F.col(id_col).cast("long").alias("id"), F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("double")).alias("v"))
 
+    let_workers_import(vectors.sparkSession)
     q, x = numbers(queries).dropDuplicates(["id"]), numbers(vectors)
     counts = q.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).unionAll(x.agg(F.count("*"), F.max(F.size("v")))).collect()
     width = max((r["d"] or 0 for r in counts), default=0)
