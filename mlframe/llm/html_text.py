@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mlframe.llm.common import map_arrow, materialize, text_slices
+from mlframe.llm.common import WordHashes, map_arrow, materialize, mix64, text_slices
 from mlframe.llm.urls import host_and_path
 
 # Element names and attribute words by their part in a page (fixed values).
@@ -124,10 +124,10 @@ def blocks_of(page: str | None) -> tuple[list[str], str]:
     return texts, "".join(marks)
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, least: int) -> np.ndarray:
+def repeated(tokens: np.ndarray, page: np.ndarray, least: int, identity: np.ndarray | None = None) -> np.ndarray:
     """Which tokens lie in a run of ``least`` tokens or more that stands in two different pages.
 
-    ``tokens`` is all pages' streams in a row (equal numbers, equal tokens), ``page`` the page of each token. The suffix array is sorted by prefix doubling until ranks cover ``least`` tokens; neighbours of one rank share that long a prefix, and the longer runs are unions of such windows. Windows do not cross pages.
+    ``tokens`` is all pages' streams in a row (equal numbers, equal tokens), ``page`` the page of each token, ``identity`` what copies of a page have in common (without it, every page is its own). The suffix array is sorted by prefix doubling until ranks cover ``least`` tokens; neighbours of one rank share that long a prefix, and the longer runs are unions of such windows. Windows do not cross pages.
     """
     n = len(tokens)
     covered = np.zeros(n, bool)
@@ -145,16 +145,50 @@ def repeated(tokens: np.ndarray, page: np.ndarray, least: int) -> np.ndarray:
         return covered
     order = whole[np.argsort(rank[whole], kind="stable")]  # the suffix array, of whole windows
     first = np.flatnonzero(np.diff(rank[order], prepend=-1))
-    low, high = np.minimum.reduceat(page[order], first), np.maximum.reduceat(page[order], first)
-    hit = order[np.repeat(low < high, np.diff(first, append=len(order)))]
+    who = (page if identity is None else identity)[order]
+    low, high = np.minimum.reduceat(who, first), np.maximum.reduceat(who, first)
+    return spans(order[np.repeat(low < high, np.diff(first, append=len(order)))], n, least)
+
+
+def spans(starts: np.ndarray, n: int, least: int) -> np.ndarray:
+    """Which of ``n`` tokens the windows of ``least`` tokens at ``starts`` cover."""
     edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, hit, 1)
-    np.add.at(edge, hit + least, -1)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + least, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def main_texts(pages: list[tuple[list[str], str]], least: int) -> list[tuple[str, int, int]]:
-    """Per page of one host: its main text, its tokens, and those in runs repeated across pages."""
+def window_hashes(tokens: np.ndarray, least: int) -> np.ndarray:
+    """64-bit hash of every window of ``least`` tokens; ``tokens`` are the words' hashes."""
+    n = max(len(tokens) - least + 1, 0)
+    out = np.zeros(n, np.uint64)
+    for k in range(least if n else 0):
+        out += tokens[k : k + n] * np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64))
+    return mix64(out)
+
+
+def shared_windows(group: pd.DataFrame) -> pd.DataFrame:
+    """Window hashes of one host and part that stand on two different pages, to every shard where no two pages show it by themselves."""
+    read = lambda column, kind: np.concatenate([np.frombuffer(x, kind) for x in group[column]])
+    counts, hashes = read("counts", "<u4"), read("hashes", "<u8")
+    who, shard = np.repeat(read("digests", "<u8"), counts), np.repeat(read("shards", "<u4"), counts)
+    order = np.argsort(hashes, kind="stable")
+    first = np.flatnonzero(np.diff(hashes[order], prepend=~hashes[order[:1]]))
+    several = np.minimum.reduceat(who[order], first) < np.maximum.reduceat(who[order], first)
+    order = order[np.repeat(several, np.diff(first, append=len(order)))]
+    out = []
+    if len(order):
+        order = order[np.lexsort((hashes[order], shard[order]))]
+        hashes, who, shard = hashes[order], who[order], shard[order]
+        first = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (shard[1:] != shard[:-1])))
+        alone = first[np.minimum.reduceat(who, first) == np.maximum.reduceat(who, first)]
+        cuts = np.flatnonzero(np.diff(shard[alone])) + 1
+        out = [(int(shard[a[0]]), hashes[a].tobytes()) for a in np.split(alone, cuts) if len(a)]
+    return pd.DataFrame({"host": [group["host"].iloc[0]] * len(out), "shard": [x[0] for x in out], "hashes": [x[1] for x in out]})
+
+
+def main_texts(pages: list[tuple[list[str], str]], least: int, elsewhere: np.ndarray | None = None) -> list[tuple[str, int, int]]:
+    """Per page of one host's shard: its main text, its tokens, and those in runs repeated across pages; ``elsewhere`` has the hashes of windows that repeat on pages of other shards."""
     streams = [[block.split() for block in texts] for texts, _ in pages]
     flat = [w for stream in streams for block in stream for w in block]
     sizes = np.array([sum(map(len, s)) for s in streams], np.int64)
@@ -163,7 +197,13 @@ def main_texts(pages: list[tuple[list[str], str]], least: int) -> list[tuple[str
     ends = np.cumsum(sizes)
     same: dict[bytes, int] = {}  # copies of a page count as one
     ids = [same.setdefault(xxhash.xxh3_128_digest(tokens[e - s : e].tobytes()), k) for k, (s, e) in enumerate(zip(sizes, ends, strict=True))]
-    covered = repeated(tokens, np.repeat(np.array(ids, np.int64), sizes), least)
+    covered = repeated(tokens, np.repeat(np.arange(len(ids)), sizes), least, np.repeat(np.array(ids, np.int64), sizes))
+    if elsewhere is not None and len(elsewhere):
+        words = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in number), np.uint64, len(number))[tokens]
+        hashes = window_hashes(words, least)
+        starts = np.arange(len(hashes))
+        inside = np.repeat(ends, sizes)[starts] >= starts + least  # windows do not cross pages
+        covered |= spans(starts[inside & np.isin(hashes, elsewhere)], len(tokens), least)
     out = []
     for (texts, marks), stream, size, end in zip(pages, streams, sizes, ends, strict=True):
         own = covered[end - size : end]
@@ -185,30 +225,62 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Where a page has article or main elements, their blocks that no markup inside them marks as boilerplate are its text. Elsewhere blocks marked as boilerplate go, and of the others the runs of ``least`` or more tokens that the suffix array finds on two different pages of the host; unique runs stay. Copies of a page count as one page. The text is blocks joined by two line feeds.
 
-    The pages of a host are dealt by a hash of the id into shards of about ``shard_chars`` characters of html, one suffix array each, so no task grows with a host; what a host repeats everywhere is seen in each shard. Only hosts of more than one shard are looked up, by a broadcast if they are at most ``broadcast_hosts`` (counted first), else by a shuffled join.
+    The pages of a host are dealt by a hash of the id into shards of about ``shard_chars`` characters of html, one suffix array each, so no task grows with a host. Hosts of more than one shard are read once before that: their windows' hashes meet in parts of four shards' size, dealt by the hash, and those on two different pages go back to the shards, so a run is found wherever its pages are. Only these hosts are looked up, by a broadcast if they are at most ``broadcast_hosts`` (counted first), else by a shuffled join.
 
     Columns: page_id, url, text, n_chars (code points), n_tokens (of the whole page), n_repeated (in repeated runs). Null html: empty text. Null urls and urls without a host make one host of their own. Repeated rows give repeated rows, an empty table none; other columns are not read.
     """
-    host = host_and_path(F.col(url_col))[0]
+    host = F.coalesce(host_and_path(F.col(url_col))[0], F.lit(""))
     sizes = pages.groupBy(host.alias("host")).agg(F.sum(F.coalesce(F.length(html_col), F.lit(0))).alias("chars"))
-    hot = materialize(sizes.where(F.col("chars") > shard_chars))
+    share = lambda n: F.ceil(F.col("chars") / F.lit(float(n))).cast("long")
+    hot = materialize(sizes.where(F.col("chars") > shard_chars).select("host", share(shard_chars).alias("shards"), share(4 * shard_chars).alias("parts")))
     if hot.count() <= broadcast_hosts:
         hot = F.broadcast(hot)
-    names = ["page_id", "url", "host", "draw", "texts", "marks"]
+    shard = F.pmod("draw", "shards")
+    read = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.xxhash64(F.col(id_col), F.col(url_col)).alias("draw"), F.col(html_col).alias("html"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in text_slices(batches, 8 << 20):
+            hosts: dict[tuple[str, int], list] = {}
+            for name, parts, number, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = hashes.of([w.encode("utf-8", "surrogatepass") for block in blocks_of(page)[0] for w in block.split()])
+                found = np.unique(window_hashes(words, least))
+                if len(found):
+                    hosts.setdefault((name, parts), []).append((xxhash.xxh3_64_intdigest(words.tobytes()), number, found))
+            rows = []
+            for (name, parts), group in hosts.items():
+                every = np.concatenate([g[2] for g in group])
+                owner = np.repeat(np.arange(len(group)), [len(g[2]) for g in group])
+                part = (every % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                who, number = np.array([g[0] for g in group], "<u8"), np.array([g[1] for g in group], "<u4")
+                for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                    there, counts = np.unique(owner[own], return_counts=True)
+                    rows.append((name, int(part[own[0]]), who[there].tobytes(), number[there].tobytes(), counts.astype("<u4").tobytes(), every[own].astype("<u8").tobytes()))
+            kinds = [pa.string(), pa.int64(), *[pa.binary()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["host", "part", "digests", "shards", "counts", "hashes"])
+
+    spread = map_arrow(read.join(hot, "host").select("host", "parts", shard.alias("shard"), "html"), windows, "host string, part long, digests binary, shards binary, counts binary, hashes binary")
+    shared = materialize(spread.groupBy("host", "part").applyInPandas(shared_windows, "host string, shard long, hashes binary"), table=True)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=1)
         for batch in text_slices(batches, 8 << 20):
             found = [blocks_of(x) for x in batch.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([f[1] for f in found], pa.string())], names=names)
+            raw = ["\n".join(f[0]).encode("utf-8", "surrogatepass") for f in found]  # no block has a line feed
+            columns = [pa.array([len(x) for x in raw], pa.int64()), pa.array([codec.compress(x, asbytes=True) for x in raw], pa.binary()), pa.array([f[1] for f in found], pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *columns], names=["page_id", "url", "host", "draw", "size", "texts", "marks"])
 
-    parsed = map_arrow(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.xxhash64(F.col(id_col), F.col(url_col)).alias("draw"), F.col(html_col)), parse, "page_id long, url string, host string, draw long, texts array<string>, marks string")
-    dealt = parsed.join(hot, "host", "left").withColumn("shard", F.coalesce(F.pmod("draw", F.ceil(F.col("chars") / F.lit(float(shard_chars)))), F.lit(0))).select("host", "shard", "page_id", "url", "texts", "marks")
+    parsed = map_arrow(read, parse, "page_id long, url string, host string, draw long, size long, texts binary, marks string")
+    dealt = parsed.join(hot, "host", "left").withColumn("shard", F.coalesce(shard, F.lit(0))).select("host", "shard", "page_id", "url", "size", "texts", "marks")
 
-    def work(group: pd.DataFrame) -> pd.DataFrame:
-        out = main_texts([(list(t), m) for t, m in zip(group["texts"], group["marks"], strict=True)], least)
+    def work(group: pd.DataFrame, repeats: pd.DataFrame) -> pd.DataFrame:
+        codec = pa.Codec("zstd")
+        texts = [codec.decompress(x, n, asbytes=True).decode("utf-8", "surrogatepass").split("\n") if n else [] for x, n in zip(group["texts"], group["size"], strict=True)]
+        out = main_texts(list(zip(texts, group["marks"], strict=True)), least, np.frombuffer(b"".join(repeats["hashes"]), "<u8"))
         return pd.DataFrame({"page_id": group["page_id"], "url": group["url"], "text": [x[0] for x in out], "n_chars": [len(x[0]) for x in out], "n_tokens": [x[1] for x in out], "n_repeated": [x[2] for x in out]})
 
-    return dealt.groupBy("host", "shard").applyInPandas(work, "page_id long, url string, text string, n_chars long, n_tokens long, n_repeated long")
+    return dealt.groupBy("host", "shard").cogroup(shared.groupBy("host", "shard")).applyInPandas(work, "page_id long, url string, text string, n_chars long, n_tokens long, n_repeated long")
 
 
 def op10_html_text(spark, sf_dir: str) -> DataFrame:

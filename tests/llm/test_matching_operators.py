@@ -305,3 +305,18 @@ def test_extract(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
     many = {r["page_id"]: r["text"] for r in html_text.extract(pages, shard_chars=200, broadcast_hosts=0).collect()}
     assert many[10] == shared
+
+
+def test_extract_repeats_across_shards(spark):
+    word = lambda *k: "w" + "x".join(map(str, k))
+    own = lambda k: " ".join(word(k, j) for j in range(30))
+    pair = lambda k: " ".join(word("pair", k, j) for j in range(8 + k % 5))
+    rows = [(k, f"http://h.com/{k}", f"<p>{own(k)}</p><p>{pair(k // 2)} {own(k + 1000)}</p>") for k in range(60)]
+    rows += [(k, None, f"<p>{pair(k // 2)} {own(k)}</p>") for k in range(100, 120)]
+    rows += [(k, f"http://h.com/c{k}", f"<p>{own(7777)}</p>") for k in range(200, 212)]  # copies count as one
+    pages = spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string")
+    whole = sorted(map(tuple, html_text.extract(pages).collect()))
+    assert all(r[5] == 8 + r[0] // 2 % 5 and r[2].startswith("w") and "pair" not in r[2] for r in whole if r[0] < 200)
+    assert all(r[5] == 0 and r[2] == own(7777) for r in whole if r[0] >= 200)
+    for hosts in (0, 100):
+        assert sorted(map(tuple, html_text.extract(pages, shard_chars=1000, broadcast_hosts=hosts).collect())) == whole
