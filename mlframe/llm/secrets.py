@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 # Patterns, words and formats (fixed values).
 KEYWORD = r"(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth[_-]?key)"
-ASSIGNED = rf"(?i:{KEYWORD})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?[^\s\"',;]{{6,200}}"
-BARE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,512}={0,2}"
+ASSIGNED = rf"(?i:{KEYWORD})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?[^\s\"',;]{{6,}}+"
+BARE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
 CANDIDATE = rf"{ASSIGNED}|{BARE}"
 HEAD = rf"^(?i:{KEYWORD})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?"
 KNOWN = r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}|xox[baprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})"
@@ -35,6 +35,9 @@ def features(match: Column, left: Column, right: Column) -> Column:
     share = lambda pattern: (F.length(F.regexp_replace(value, pattern, "")) * F.lit(1.0)) / n
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[0-9]", "\u0001"), "[a-z]", "\u0002"), "[A-Z]", "\u0003"), "[^\u0001-\u0003]", "\u0004")
     one = lambda c: c.cast("double")
+    letters = lambda c: F.array_distinct(F.split(c, ""))
+    # Of long values by pieces, so no array has an element for every character.
+    distinct = F.when(n <= 1024, F.size(letters(value))).otherwise(F.size(F.aggregate(F.regexp_extract_all(value, F.lit("(?s).{1,1024}"), F.lit(0)), F.array().cast("array<string>"), lambda found, piece: F.array_union(found, letters(piece)))))
     return F.struct(
         value.alias("value"),
         one(F.least(F.length(value), F.lit(200))).alias("length"),
@@ -42,7 +45,7 @@ def features(match: Column, left: Column, right: Column) -> Column:
         share("[^0-9]").alias("digits"),
         share("[^A-Z]").alias("upper"),
         share("[^a-z]").alias("lower"),
-        (F.size(F.array_distinct(F.split(value, ""))) / F.least(n, F.lit(40))).alias("distinct"),
+        (distinct / F.least(n, F.lit(40))).alias("distinct"),
         share("(?i)[^aeiou]").alias("vowels"),
         one(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")).alias("hex"),
         (1 - F.length(F.regexp_replace(F.lower(value), "(?:" + "|".join(sorted(DICTIONARY.split(), key=len, reverse=True)) + ")", "")) / n).alias("covered"),

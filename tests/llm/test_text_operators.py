@@ -220,6 +220,21 @@ def test_secrets(spark, forest):
     assert row["text"] == "say <SECRET> now" and row["n_chars"] == len(row["text"])
 
 
+def test_long_secrets_are_masked_whole(spark, forest):
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+    rng = np.random.default_rng(3)
+    texts = []
+    for n in (400, 5000, 200_000):
+        value = "".join(rng.choice(list(alphabet), n))
+        texts += [f'set token="{value}" here', f"the secret key is {value}, keep it"]
+    texts.append(f"secret key {'QwErTyUiOp' * 10}{value[:300]} too")  # the first digit comes late
+    docs = documents(spark, texts, repeat=False)
+    got = {r["doc_id"]: r for r in secrets.scan(docs, forest).collect()}
+    for k, t in enumerate(texts):
+        value = max(re.findall("[A-Za-z0-9_-]+", t), key=len)
+        assert got[k]["redacted"] == t.replace(value, "<SECRET>") and [s["value"] for s in got[k]["secrets"]] == [value]
+
+
 def test_secret_candidates_against_brute_force(spark, forest):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
