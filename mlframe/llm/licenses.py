@@ -49,12 +49,11 @@ def parse_expression(text: str) -> list[str]:
     Operands and operators must alternate and brackets must close; the longest start of ``text`` for which they do is read.
     """
     tokens, at = [], 0
-    while (m := _TOKEN.match(text, at)) and len(tokens) < 512:
-        tokens.append(m[1])
-        at = m.end()
     best, out, stack, want = 0, [], [], True
     depth = 0
-    for k, token in enumerate(tokens):  # the longest whole prefix
+    while m := _TOKEN.match(text, at):  # the longest whole prefix
+        token, at = m[1], m.end()
+        tokens.append(token)
         low = token.lower()
         if want:
             if token == "(":
@@ -72,7 +71,7 @@ def parse_expression(text: str) -> list[str]:
         else:
             break
         if not want and not depth:
-            best = k + 1
+            best = len(tokens)
     for token in tokens[:best]:
         low = token.lower()
         if token == "(":

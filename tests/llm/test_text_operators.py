@@ -131,6 +131,13 @@ def test_expressions(text, postfix, verdict):
     assert row[8] == verdict and row[7] == (postfix or None)
 
 
+def test_long_expressions_are_read_whole():
+    text = " AND ".join(["MIT"] * 2000 + ["GPL-3.0-only"])
+    assert len(licenses.parse_expression(text)) == 4001
+    row = licenses.scan_text(f"SPDX-License-Identifier: {text}\n", licenses.automaton())
+    assert row[8] == "copyleft" and row[7].count("mit") == 2000
+
+
 # Packing
 
 
