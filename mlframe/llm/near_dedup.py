@@ -11,14 +11,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mlframe.llm.common import LOWER_ASCII, WordHashes, map_arrow, materialize, mix64, text_slices
+from mlframe.llm.common import SPREAD, Words, discard, map_arrow, materialize, mix64, text_slices
 from mlframe.llm.components import connected_components
 
 #: Bits of the odd sketch of every document, and samples and bits of the sharper one that documents of unsettled buckets get.
 SKETCH_BITS = 256
 SHARP_SAMPLES, SHARP_BITS = 2048, 4096
 _LAST = np.iinfo(np.int64).max
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
@@ -29,16 +28,18 @@ def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
     take = min(n, size)
     value = np.full(n - take + 1, take, np.uint64)
     for k in range(take):
-        value = (value * _SPREAD) ^ mix64(words[k : n - take + 1 + k] + np.uint64(k))
+        value = (value * SPREAD) ^ mix64(words[k : n - take + 1 + k] + np.uint64(k))
     return np.unique(mix64(value))
 
 
-def text_sets(texts: list[str | None], hashes: WordHashes, size: int) -> list[np.ndarray]:
-    return [shingle_set(hashes.of((t or "").encode("utf-8", "surrogatepass").translate(LOWER_ASCII).split()), size) for t in texts]
+def text_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+    words = Words.of(texts, lower=True)
+    hashes = words.hashes()
+    return [shingle_set(hashes[a:b], size) for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)]
 
 
 def permutations(samples: int) -> tuple[np.ndarray, np.ndarray]:
-    seeds = mix64(np.arange(1, 2 * samples + 1, dtype=np.uint64) * _SPREAD)
+    seeds = mix64(np.arange(1, 2 * samples + 1, dtype=np.uint64) * SPREAD)
     return seeds[:samples] | np.uint64(1), seeds[samples:]
 
 
@@ -58,7 +59,7 @@ def minhash(sets: list[np.ndarray], samples: int) -> np.ndarray:
 def odd_sketch(signature: np.ndarray, bits: int) -> np.ndarray:
     """Parity bitmap of each row's samples: every (position, value) flips one of ``bits`` bits; bits / 64 numbers a row."""
     rows, samples = signature.shape
-    bit = mix64(signature + np.arange(samples, dtype=np.uint64) * _SPREAD) & np.uint64(bits - 1)
+    bit = mix64(signature + np.arange(samples, dtype=np.uint64) * SPREAD) & np.uint64(bits - 1)
     at = np.arange(rows)[:, None] * bits + bit.astype(np.int64)
     parity = (np.bincount(at.ravel(), minlength=rows * bits) & 1).astype(np.uint8).reshape(rows, bits)
     return np.packbits(parity, axis=1, bitorder="little").view("<u8")
@@ -79,16 +80,15 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, bands: in
     """Per document: doc_id, n_shingles, high and low (digest of the set), bands (one hash each), sketch (four numbers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in text_slices(batches, 1 << 20):
-            sets = text_sets(batch.column(1).to_pylist(), hashes, size)
+            sets = text_sets(batch.column(1), size)
             full = [k for k, s in enumerate(sets) if len(s)]
             band, sketch = [None] * len(sets), [None] * len(sets)
             if full:
                 signature = minhash([sets[k] for k in full], bands * rows)
                 keys = np.zeros((len(full), bands), np.uint64) + np.arange(bands, dtype=np.uint64)
                 for r in range(rows):
-                    keys = mix64(keys * _SPREAD ^ signature[:, r::rows])
+                    keys = mix64(keys * SPREAD ^ signature[:, r::rows])
                 for k, b, o in zip(full, keys.view(np.int64), odd_sketch(signature, SKETCH_BITS).view(np.int64), strict=True):
                     band[k], sketch[k] = b, o
             digest = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8") for s in sets]
@@ -104,9 +104,8 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size:
     """doc_id and items (the shingle set) of the documents in ``ids``; of repeated ids one row is taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in text_slices(batches, 1 << 20):
-            sets = text_sets(batch.column(1).to_pylist(), hashes, size)
+            sets = text_sets(batch.column(1), size)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "items"])
 
     some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(ids, "doc_id", "left_semi")

@@ -10,9 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mlframe.llm.common import WordHashes, discard, map_arrow, materialize, mix64, text_slices
-
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+from mlframe.llm.common import SPREAD, Words, map_arrow, materialize, mix64, text_slices
 
 
 class SuffixAutomaton:
@@ -97,7 +95,7 @@ def minimizers(words: np.ndarray, least: int, gram: int) -> np.ndarray:
     n = len(words) - gram + 1
     value = words[:n].copy()
     for k in range(1, gram):
-        value *= _SPREAD
+        value *= SPREAD
         value += words[k : n + k]
     value = mix64(value)
     span = least - gram + 1  # runs in a window; minima of 1, 2, 4, ... of them
@@ -109,16 +107,20 @@ def minimizers(words: np.ndarray, least: int, gram: int) -> np.ndarray:
     return value
 
 
-def windows_of(texts: list[list[bytes]], hashes: WordHashes, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts in a row: each window's minimizer, its text's number, and its first word's number in that text."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    if sizes.sum() < least:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    value = minimizers(hashes.of([w for t in texts for w in t]), least, gram)
-    text = np.repeat(np.arange(len(texts)), sizes)
-    first = (np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[: len(value)]
-    whole = text[: len(value)] == text[least - 1 :]
-    return value[whole], text[: len(value)][whole], first[whole]
+def segments_of(texts: pa.Array, least: int, gram: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts in a row: their words, and for every run of consecutive windows of one minimizer (a segment) that minimizer, the text's number, and the numbers of the first words of its first and last window."""
+    words = Words.of(texts)
+    if len(words.start) < least:
+        none = np.zeros(0, np.int64)
+        return words, none.view(np.uint64), none, none, none
+    value = minimizers(words.hashes(), least, gram)
+    text = np.repeat(np.arange(len(texts)), np.diff(words.first))
+    window = np.flatnonzero(text[: len(value)] == text[least - 1 :])  # windows do not cross texts
+    value, text = value[window], text[window]
+    new = np.flatnonzero((value[1:] != value[:-1]) | (text[1:] != text[:-1])) + 1
+    first = np.append(0, new) if len(value) else new
+    last = np.append(new, len(value))[: len(first)] - 1
+    return words, value[first], text[first], window[first], window[last]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -128,68 +130,71 @@ def words_of(text: str | None) -> list[bytes]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 13, gram: int = 5, shard_segments: int = 4096) -> DataFrame:
     """Removes every word in a run of ``least`` words that also stands in a document of smaller id; judged on the input.
 
-    Words are runs without ASCII white space, unchanged. Sending every shard's automaton to all documents would cost shards times documents, so documents go to the shards that can match: consecutive windows of one minimizer (the smallest hash of the ``gram``-word runs inside) make a segment, and equal windows have the same minimizer. (1) Minimizers that stand in more than one document are found by an aggregate with partial sums. (2) Only documents that have some cut segments, and only for those. (3) Equal segments (of one minimizer and one 64-bit hash) become one, with their smallest document. (4) Segments of a minimizer meet in one shard; its suffix automaton holds all of them, every segment is streamed through it, and the matching statistics give each window's smallest document. A minimizer of more than ``shard_segments`` different segments is cut into single windows that are dealt by their own text, so no shard grows with it. (5) Windows found in a smaller document go back to the documents and their union is removed.
+    Words are runs without ASCII white space, unchanged. Sending every shard's automaton to all documents would cost shards times documents, so documents go to the shards that can match: consecutive windows of one minimizer (the smallest hash of the ``gram``-word runs inside) make a segment, and equal windows have the same minimizer. (1) Minimizers that stand in more than one document are found by an aggregate with partial sums. (2) Only documents that have some cut segments, and only for those. (3) Equal segments (of one minimizer and one 64-bit hash) become one, with their smallest and largest document. (4) Different segments of a minimizer meet in one shard; its suffix automaton is built once, every segment is streamed through it, and the matching statistics give each window's smallest document. A segment that is alone with its minimizer needs no automaton: all its windows are its own. A minimizer of more than ``shard_segments`` different segments is cut into single windows, equal ones become one, and they are dealt by their own text, so no shard grows with it. (5) Segments with windows of a smaller document go back to the documents and the union of these windows is removed.
+
+    The joins by minimizer and by segment have written tables on both sides, so adaptive execution splits those that very many documents share.
 
     Columns: doc_id, n_words, n_removed, kept (the words left, joined by one space), spans (array of struct(start, stop): the removed runs, as word numbers). One row per row of ``docs``. Null text: no words, kept empty. Rows of a null id lose nothing and count for nothing. Repeated rows of one id are one document: none is earlier than the other. An empty table gives none; other columns are not read.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    known = source.where("doc_id is not null and text is not null")
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in text_slices(batches, 2 << 20):
-            value, text, _ = windows_of([words_of(t) for t in batch.column(1).to_pylist()], hashes, least, gram)
-            if len(value):
-                new = np.append(True, (value[1:] != value[:-1]) | (text[1:] != text[:-1]))
-                yield pa.RecordBatch.from_arrays([pa.array(value[new].view(np.int64)), batch.column(0).take(pa.array(text[new]))], names=["print", "doc_id"])
+        for batch in text_slices(batches, 1 << 20):
+            _, value, text, _, _ = segments_of(batch.column(1), least, gram)
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), batch.column(0).take(pa.array(text))], names=["print", "doc_id"])
 
-    marked = map_arrow(source.where("doc_id is not null and text is not null"), prints, "print long, doc_id long")
-    shared = marked.groupBy("print").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("print")
-    hits = materialize(marked.join(shared, "print").groupBy("doc_id").agg(F.collect_set("print").alias("prints")))
+    marked = map_arrow(known, prints, "print long, doc_id long")
+    shared = materialize(marked.groupBy("print").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("print"))
+    hits = marked.join(shared, "print").groupBy("doc_id").agg(F.collect_list("print").alias("prints"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in text_slices(batches, 2 << 20):
-            texts = [words_of(t) for t in batch.column(1).to_pylist()]
-            value, text, first = windows_of(texts, hashes, least, gram)
-            if not len(value):
-                continue
-            edge = np.flatnonzero((value[1:] != value[:-1]) | (text[1:] != text[:-1])) + 1
-            start, stop = np.append(0, edge), np.append(edge, len(value)) - 1
-            shared = np.zeros(len(start), bool)
-            number, known = text[start], batch.column(2)
-            for k, at, to in zip(*np.unique(number, return_index=True), np.append(np.unique(number, return_index=True)[1][1:], len(number)), strict=True):
-                shared[at:to] = np.isin(value[start[at:to]], known[int(k)].values.to_numpy().view(np.uint64))
-            start, stop, number = start[shared], stop[shared], number[shared]
-            words = [b" ".join(texts[t][a : b + least]) for t, a, b in zip(number.tolist(), first[start].tolist(), first[stop].tolist(), strict=True)]
-            if words:
-                yield pa.RecordBatch.from_arrays([pa.array(value[start].view(np.int64)), batch.column(0).take(pa.array(number)), pa.array(first[start]), pa.array(words, pa.binary()).cast(pa.string())], names=["print", "doc_id", "start", "words"])
-
-    cuts = map_arrow(source.join(hits, "doc_id"), cut, "print long, doc_id long, start long, words string")
-    cuts = materialize(cuts.withColumn("segment", F.xxhash64("words")), table=True)
-    segments = materialize(cuts.groupBy("print", "segment").agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words")), table=True)
-    places = materialize(cuts.select("print", "segment", "doc_id", "start"), table=True)
-    discard(cuts)
-    crowded = materialize(segments.groupBy("print").agg(F.count("*").alias("n")).where(F.col("n") > shard_segments).select("print", F.lit(True).alias("crowded")))
+        for batch in text_slices(batches, 1 << 20):
+            words, value, text, first, last = segments_of(batch.column(1), least, gram)
+            lists = batch.column(2)
+            owner = np.repeat(np.arange(len(lists), dtype=np.uint64), lists.value_lengths().to_numpy())
+            some = np.isin(value ^ mix64(text), lists.flatten().to_numpy().view(np.uint64) ^ mix64(owner))
+            value, text, first, last = value[some], text[some], first[some], last[some]
+            raw = words.data.tobytes()
+            pieces = [raw[a:b] for a, b in zip(words.start[first].tolist(), words.stop[last + least - 1].tolist(), strict=True)]
+            # White space that is not one space between two words, counted up to each word.
+            other = np.append(0, np.cumsum((words.start[1:] - words.stop[:-1] != 1) | (words.data[words.stop[:-1]] != 32)))
+            for k in np.flatnonzero(other[last + least - 1] > other[first]).tolist():
+                pieces[k] = b" ".join(pieces[k].split())
+            columns = [pa.array(value.view(np.int64)), batch.column(0).take(pa.array(text)), pa.array(first - words.first[text]), pa.array(last - first + 1), pa.array(pieces, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["print", "doc_id", "start", "n", "words"])
+
+    cuts = map_arrow(known.join(hits, "doc_id"), cut, "print long, doc_id long, start long, n long, words string")
+    cuts = materialize(cuts.withColumn("segment", F.xxhash64("words")))
+    segments = materialize(cuts.groupBy("print", "segment").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("n").cast("int").alias("n")))
+    several = materialize(segments.groupBy("print").agg(F.count("*").alias("segments")).where("segments > 1"))
+    alone = segments.where("low < high").join(several, "print", "left_anti").select("print", "segment", F.lit(0).cast("long").alias("shift"), F.array_repeat("low", F.col("n")).alias("first"))
+    heads = segments.join(several, "print").select("print", "segment", F.col("low").alias("doc_id"), "high", (F.col("segments") > shard_segments).alias("crowded"))
+    heads = cuts.select("print", "segment", "doc_id", "words").join(heads, ["print", "segment", "doc_id"])
     shards = max(1, segments.count() // shard_segments)
-    if crowded.count() <= 100_000:
-        crowded = F.broadcast(crowded)
-    window = F.transform(F.sequence(F.lit(0), F.size("w") - least), lambda k: F.struct(k.cast("long").alias("shift"), F.array_join(F.slice("w", k + 1, least), " ").alias("words")))
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("shift"), F.col("words").alias("words")))
-    dealt = segments.join(crowded, "print", "left").withColumn("w", F.when(F.col("crowded"), F.split("words", " "))).select("print", "segment", "crowded", "doc_id", F.explode(F.when(F.col("crowded"), window).otherwise(whole)).alias("part")).select("print", "segment", "doc_id", "part.*", F.when(F.col("crowded"), F.xxhash64("part.words")).otherwise(F.col("print")).alias("key"))
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
 
     def match(group: pd.DataFrame) -> pd.DataFrame:
-        twin = group["key"].duplicated(keep=False).to_numpy()  # a key of one segment: all its windows are that segment's own
-        texts, documents = group["words"].tolist(), group["doc_id"].tolist()
-        mixed = np.flatnonzero(twin)
-        found = dict(zip(mixed.tolist(), earliest([texts[k].split(" ") for k in mixed], [documents[k] for k in mixed], least), strict=True))
-        first = [found[k] if k in found else [documents[k]] * (texts[k].count(" ") + 2 - least) for k in range(len(texts))]
-        return pd.DataFrame({"print": group["print"], "segment": group["segment"], "shift": group["shift"], "first": first})
-
-    found = dealt.groupBy("shard").applyInPandas(match, "print long, segment long, shift long, first array<long>")
-    late = places.join(found, ["print", "segment"])
-    gone = late.select("doc_id", F.col("start") + F.col("shift"), "first").toDF("doc_id", "start", "first")
-    gone = gone.select("doc_id", F.transform(F.filter(F.transform("first", lambda d, k: F.struct(d.alias("d"), k.alias("k"))), lambda x: x["d"] < F.col("doc_id")), lambda x: F.col("start") + x["k"]).alias("at")).where(F.size("at") > 0)
+        group = group.drop_duplicates(["print", "segment"])  # a segment may stand twice in its smallest document
+        found = earliest([w.split(" ") for w in group["words"]], group["doc_id"].tolist(), least)
+        late = np.array([min(f) < high for f, high in zip(found, group["high"], strict=True)], bool)
+        return pd.DataFrame({"print": group["print"].to_numpy()[late], "segment": group["segment"].to_numpy()[late], "first": pd.Series([f for f, x in zip(found, late, strict=True) if x], dtype=object)})
+
+    def streamed(rows: DataFrame, key: str) -> DataFrame:
+        dealt = rows.select("print", "segment", "doc_id", "high", "words", F.pmod(F.xxhash64(key), F.lit(shards)).alias("shard"))
+        return dealt.groupBy("shard").applyInPandas(match, "print long, segment long, first array<long>")
+
+    found = alone.unionAll(streamed(heads.where("not crowded"), "print").select("print", "segment", F.lit(0).cast("long").alias("shift"), "first"))
+    if not several.where(F.col("segments") > shard_segments).isEmpty():
+        each = F.transform(F.sequence(F.lit(1), F.size("w") - (least - 1)), lambda k: F.struct((k - 1).cast("long").alias("shift"), F.array_join(F.slice("w", k, least), " ").alias("words")))
+        single = heads.where("crowded").withColumn("w", F.split("words", " ")).select("print", F.col("segment").alias("whole"), "doc_id", "high", F.explode(each).alias("part")).select("print", "whole", "doc_id", "high", "part.*")
+        single = materialize(single.withColumn("segment", F.xxhash64("words")))
+        distinct = single.groupBy("print", "segment").agg(F.min("doc_id").alias("doc_id"), F.max("high").alias("high"), F.min("words").alias("words"))
+        back = materialize(streamed(distinct, "segment"))
+        found = found.unionAll(single.select("print", "segment", "whole", "shift").join(back, ["print", "segment"]).select("print", F.col("whole").alias("segment"), "shift", "first"))
+    found = materialize(found)
+    late = cuts.select("print", "segment", "doc_id", "start").join(found, ["print", "segment"])
+    at = F.transform(F.filter(F.transform("first", lambda d, k: F.struct(d.alias("d"), k.alias("k"))), lambda x: x["d"] < F.col("doc_id")), lambda x: F.col("start") + F.col("shift") + x["k"])
+    gone = late.select("doc_id", at.alias("at")).where(F.size("at") > 0)
     gone = gone.groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("at"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
