@@ -15,27 +15,40 @@ from mlframe.llm.common import map_arrow, mix64, text_slices
 ORDER = 4
 #: Symbols beside letters: between words, and before a text.
 GAP, EDGE = 32, 1
-_LETTER = np.fromiter((chr(c).isalpha() or 0x0300 <= c <= 0x036F for c in range(0x10000)), bool, 0x10000)
+_LETTER = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+#: Marks that belong to the letter before them.
+_MARK = range(0x300, 0x370)
+#: Characters of a text that are worked on at once.
+PIECE = 4 << 20
+#: Symbols that are scored at once.
+CHUNK = 1 << 18
 
 
 def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts in a row and each text's end: lower-case letters, one GAP for any run of others, ORDER - 1 EDGEs first.
+    """Symbols of all texts in a row and each text's end: lower-case letters and the marks on them, one GAP for any run of others, ORDER - 1 EDGEs first.
 
-    Characters beyond the basic plane share 4096 symbols of the private area. A text without letters has its EDGEs only.
+    Letters beyond the basic plane share 4096 symbols of the private area. A text without letters has its EDGEs only.
     """
     parts, ends, total = [], [], 0
     edge = np.full(ORDER - 1, EDGE, np.uint16)
     for text in texts:
-        code = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4")
-        high = code > 0xFFFF
-        if high.any():
-            code = np.where(high, 0xE000 + code % 0x1000, code)
-        letter = _LETTER[code] | high
-        keep = letter.copy()
-        keep[1:] |= letter[:-1]
-        kept = np.where(letter, code, GAP)[keep].astype(np.uint16)
-        parts += [edge, kept]
-        total += len(edge) + len(kept)
+        parts.append(edge)
+        total += len(edge)
+        inside = False  # whether the last character is part of a word
+        own = []
+        for at in range(0, len(text or ""), PIECE):
+            code = np.frombuffer(text[at : at + PIECE].lower().encode("utf-32-le", "surrogatepass"), "<u4")
+            letter = _LETTER[code]
+            mark = (code >= _MARK.start) & (code < _MARK.stop)
+            before = np.append(inside, letter[:-1])
+            while (more := mark & before & ~letter).any():  # marks after letters and after such marks
+                letter = letter | more
+                before = np.append(inside, letter[:-1])
+            inside = bool(letter[-1])
+            code = np.where(code > 0xFFFF, 0xE000 + code % 0x1000, code)
+            own.append(np.where(letter, code, GAP)[letter | before].astype(np.uint16))
+        parts += own
+        total += sum(map(len, own))
         ends.append(total)
     return np.concatenate(parts) if parts else edge[:0], np.array(ends, np.int64)
 
@@ -80,8 +93,8 @@ class Model:
     centre: np.ndarray  # per language, expected cross-entropy of its own texts
     spread: np.ndarray  # per language, its standard deviation between texts
     per_symbol: np.ndarray  # per language, the part of that deviation that falls with 1 / sqrt(length)
+    limit: np.ndarray  # per language, the deviation beyond which a text is rejected
     sharpness: float = 1.0  # of the posterior
-    reject_z: float = 12.0
 
     def log_probs(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
         at, there = self.tables[order - 1].find(keys)
@@ -105,15 +118,22 @@ class Model:
         counts = np.diff(ends, prepend=0) - (ORDER - 1)
         out = np.full((len(texts), len(self.languages)), np.nan)
         full = np.flatnonzero(counts)
-        if len(full):
-            scored = line != EDGE
-            logs = self.log_probs(grams(line)[scored])
-            first = np.cumsum(counts) - counts
-            out[full] = -np.add.reduceat(logs, first[full], axis=0, dtype=np.float64) / counts[full, None]
+        if len(full) and self.languages:
+            keys = grams(line)[line != EDGE]
+            first = (np.cumsum(counts) - counts)[full]
+            total = np.zeros((len(full), len(self.languages)))
+            for at in range(0, len(keys), CHUNK):
+                logs = self.log_probs(keys[at : at + CHUNK])
+                low, high = np.searchsorted(first, at, "right") - 1, np.searchsorted(first, at + len(logs))
+                total[low:high] -= np.add.reduceat(logs, np.maximum(first[low:high] - at, 0), axis=0, dtype=np.float64)
+            out[full] = total / counts[full, None]
         return out, counts
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per text: language (und without letters), score, cross-entropy, deviations above the expected one, and whether it is rejected."""
+        if not self.languages:
+            none = np.full(len(texts), np.nan)
+            return ["und"] * len(texts), np.zeros(len(texts)), none, none, np.ones(len(texts), bool)
         entropy, counts = self.cross_entropy(texts)
         empty = counts == 0
         entropy[empty] = 0
@@ -122,7 +142,7 @@ class Model:
         weight = np.exp(-self.sharpness * np.sqrt(np.maximum(counts, 1))[:, None] * (entropy - least[:, None]))
         score = np.where(empty, 0, 1 / weight.sum(1))
         z = (least - self.centre[best]) / np.sqrt(self.spread[best] ** 2 + self.per_symbol[best] ** 2 / np.maximum(counts, 1))
-        rejected = empty | (z > self.reject_z)
+        rejected = empty | (z > self.limit[best])
         return [("und" if e else self.languages[b]) for e, b in zip(empty, best, strict=True)], score, np.where(empty, np.nan, least), np.where(empty, np.nan, z), rejected
 
 
@@ -161,11 +181,14 @@ def build(languages: list[str], keys: np.ndarray, counts: np.ndarray) -> Model:
             tables.append(below)
             backoff.append(None if order == 1 else Table.of(context, np.log(left)))
     n = len(languages)
-    return Model(list(languages), tables, backoff, unseen.astype(np.float32), np.zeros(n), np.ones(n), np.ones(n))
+    return Model(list(languages), tables, backoff, unseen.astype(np.float32), np.zeros(n), np.ones(n), np.ones(n), np.full(n, np.inf))
 
 
-def calibrate(model: Model, entropy: np.ndarray, counts: np.ndarray, truth: np.ndarray, reject_z: float) -> Model:
-    """Sets centre, spreads and sharpness from texts that were not counted; ``truth`` has language numbers."""
+def calibrate(model: Model, entropy: np.ndarray, counts: np.ndarray, truth: np.ndarray, false_rejects: float) -> Model:
+    """Sets centre, spreads, sharpness and the limit of rejection from texts that were not counted; ``truth`` has language numbers.
+
+    The limit of a language is the deviation that a share ``false_rejects`` of its own texts exceeds: beyond the ninth decile of the sample, deviations are taken to fall off exponentially with their mean excess (one deviation at least, as samples may be small), since so small a share is beyond the sample itself. Twice the sample's largest deviation is the least that is set. A language with fewer than eight texts rejects nothing.
+    """
     right = entropy[np.arange(len(truth)), truth] if len(truth) else np.zeros(0)
     for k in range(len(model.languages)):
         own, n = right[truth == k], counts[truth == k]
@@ -176,9 +199,11 @@ def calibrate(model: Model, entropy: np.ndarray, counts: np.ndarray, truth: np.n
             spread = deviation(own[long])
             model.centre[k], model.spread[k] = centre, max(spread, 0.05)
             model.per_symbol[k] = max(1.0, float(np.median(np.abs(own - centre) * np.sqrt(n)) * 1.4826))
+            z = (own - centre) / np.sqrt(model.spread[k] ** 2 + model.per_symbol[k] ** 2 / n)
+            decile = np.quantile(z, 0.9)
+            model.limit[k] = max(2 * z.max(), decile + max(1.0, np.mean(z[z >= decile] - decile)) * np.log(0.1 / false_rejects))
         else:
             model.centre[k], model.spread[k], model.per_symbol[k] = 2.5, 0.3, 2.0
-    model.reject_z = reject_z
     best = (np.inf, 1.0)
     for sharp in 2.0 ** np.arange(-3, 6):
         if len(truth):
@@ -189,15 +214,17 @@ def calibrate(model: Model, entropy: np.ndarray, counts: np.ndarray, truth: np.n
     return model
 
 
-def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 3000, sample_chars: int = 100_000, calibration_docs: int = 400, reject_z: float = 12.0) -> Model:
-    """Fits on a bounded sample: about ``sample_docs`` texts of each language with at most ``sample_chars`` characters each (whole texts; longer ones are not drawn), and about ``calibration_docs`` more for the calibration.
+def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 3000, sample_chars: int = 100_000, calibration_docs: int = 400, max_languages: int = 200, false_rejects: float = 1e-5) -> Model:
+    """Fits on a bounded sample: about ``sample_docs`` texts of each language with at most ``sample_chars`` characters each (whole texts; longer ones are not drawn), and about ``calibration_docs`` more for the calibration. Of more than ``max_languages`` languages the most frequent are learned.
 
-    The draw is by a hash of id and text, so it does not depend on order or partitions. What reaches the driver, and what is broadcast later, is at most the distinct n-grams of that sample. Rows without text or language take no part; no rows at all is an error.
+    The draw is by a hash of id and text, so it does not depend on order or partitions. What reaches the driver, and what is broadcast later, is at most the distinct n-grams of that sample. Rows without text or language take no part; without any rows the model judges every text ``und``.
     """
     rows = train.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("draw")).where("text is not null and lang is not null")
-    per = {r["lang"]: r["n"] for r in train.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count(text_col).alias("n")).collect() if r["n"]}
+    counted = train.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count(text_col).alias("n")).where("n > 0")
+    per = {r["lang"]: r["n"] for r in counted.orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     if not per:
-        raise ValueError("no labelled texts to learn languages from")
+        return Model([], [], [], *[np.zeros(0)] * 5)
+    rows = rows.where(F.col("lang").isin(list(per)))
     languages = sorted(per)
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, (sample_docs + calibration_docs) / per[k]))])
     drawn = rows.where(F.length("text") <= sample_chars).where(F.pmod("draw", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
@@ -230,13 +257,13 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
 
     seen = map_arrow(drawn.where(apart).select("text", "lang"), measure, "entropy array<double>, n long, lang int").where("n > 0").toArrow()
     entropy = np.array(seen["entropy"].to_pylist(), np.float64).reshape(-1, n_lang)
-    return calibrate(model, entropy, seen["n"].to_numpy().astype(float), seen["lang"].to_numpy(), reject_z)
+    return calibrate(model, entropy, seen["n"].to_numpy().astype(float), seen["lang"].to_numpy(), false_rejects)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Language of every whole text: the lowest cross-entropy per symbol; one row per row of ``docs``, without a shuffle.
 
-    Columns: doc_id, lang_pred, score (calibrated posterior, 0 to 1), cross_entropy (nats per symbol), deviation (in units of the calibrated spread), rejected (too far above what texts of that language have, or und). Ties go to the language first in order. Null, empty and letterless texts: und, score 0, nulls, rejected. Repeated rows give repeated rows, an empty table none; other columns are not read.
+    Columns: doc_id, lang_pred, score (calibrated posterior, 0 to 1), cross_entropy (nats per symbol), deviation (in units of the calibrated spread), rejected (further above what texts of that language have than the calibrated limit, or und). Ties go to the language first in order. Null, empty and letterless texts: und, score 0, nulls, rejected. Repeated rows give repeated rows, an empty table none; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
