@@ -48,6 +48,16 @@ class Encoder:
             self.other = Tokenizer.from_file(path)
 
     def __call__(self, text: str) -> bytes:
+        """Ids of the whole text; long texts are worked on in pieces, cut where the splitting pattern cuts anyway."""
+        if self.ranks is None or len(text) <= PIECE or any(" " in mark for mark in self.special):
+            return self.encode(text)
+        found, at = [], 0
+        while len(text) - at > PIECE and (cut := _CUT.search(text, at + PIECE)):
+            found.append(self.encode(text[at : cut.start() + 1]))
+            at = cut.start() + 1
+        return b"".join([*found, self.encode(text[at:])])
+
+    def encode(self, text: str) -> bytes:
         if self.ranks is None:
             ids = self.other.encode(text, add_special_tokens=False).ids
         elif self.marks.search(text):
@@ -61,6 +71,11 @@ class Encoder:
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Characters of a text that are tokenised at once.
+PIECE = 1 << 20
+_CUT = re.compile("[A-Za-z](?= [A-Za-z])")
+
+
 def _byte_of() -> dict[str, int]:
     """Printable stand-ins of byte-level vocabularies: visible Latin-1 bytes stand for themselves, the others follow from code point 256."""
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -117,10 +132,11 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         rows: list[tuple] = []
         waiting: list[tuple] = []
         gathered = 0
+        most_rows = 20_000 if digest else 2_000
 
-        def row(doc, start, n, ids, total, sequence, offset, padded, cost):
+        def row(doc, first, start, n, ids, total, sequence, offset, padded, cost):
             own = ids[4 * start : 4 * (start + n)]
-            return (doc, start, n, zlib.crc32(own) if digest else np.frombuffer(own, "<i4"), total, base + sequence, offset, padded, cost)
+            return (doc, first + start, n, zlib.crc32(own) if digest else np.frombuffer(own, "<i4"), total, base + sequence, offset, padded, cost)
 
         def out():
             columns = zip(*rows, strict=True)
@@ -128,10 +144,10 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
         def deal():
             nonlocal made
-            pieces, caps, costs = balance([len(w[2]) // 4 - w[1] for w in waiting], seq_len, linear, quadratic)
+            pieces, caps, costs = balance([len(tail) // 4 for _, _, tail in waiting], seq_len, linear, quadratic)
             for k, start, n, at, offset in pieces:
-                doc, first, ids = waiting[k]
-                rows.append(row(doc, first + start, n, ids, len(ids) // 4, made + at, offset, caps[at], costs[at]))
+                doc, first, tail = waiting[k]
+                rows.append(row(doc, first, start, n, tail, first + len(tail) // 4, made + at, offset, caps[at], costs[at]))
             made += len(caps)
             waiting.clear()
 
@@ -141,17 +157,20 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 total = len(ids) // 4
                 whole = total // seq_len
                 for k in range(whole):
-                    rows.append(row(doc, k * seq_len, seq_len, ids, total, made, 0, seq_len, linear * seq_len + quadratic * seq_len * seq_len))
+                    rows.append(row(doc, 0, k * seq_len, seq_len, ids, total, made, 0, seq_len, linear * seq_len + quadratic * seq_len * seq_len))
                     made += 1
+                    if len(rows) >= most_rows:
+                        yield out()
+                        rows.clear()
                 if total % seq_len:
-                    waiting.append((doc, whole * seq_len, ids))
+                    waiting.append((doc, whole * seq_len, ids[4 * whole * seq_len :]))
                     gathered += total % seq_len
                 if gathered >= group_tokens:
                     deal()
                     gathered = 0
-                if len(rows) >= (20_000 if digest else 2_000):
-                    yield out()
-                    rows.clear()
+            if len(rows) >= most_rows:
+                yield out()
+                rows.clear()
         deal()
         if rows:
             yield out()
