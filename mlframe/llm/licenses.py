@@ -99,12 +99,11 @@ _RANK = {"permissive": 0, "copyleft": 1, "unknown": 2}
 
 
 def evaluate(postfix: list[str]) -> str:
-    """What the expression asks at least: ``or`` takes the laxer side, ``and`` the stricter; ``with`` adds an exception, which makes copyleft permissive."""
+    """What the expression asks at least: ``or`` takes the laxer side, ``and`` the stricter; ``with`` adds an exception, which leaves the licence what it is."""
     stack: list[str] = []
     for token in postfix:
         if token == "with":
             stack.pop()
-            stack[-1] = "permissive" if stack[-1] == "copyleft" else stack[-1]
         elif token in PRECEDENCE:
             b, a = stack.pop(), stack.pop()
             stack.append((min if token == "or" else max)(a, b, key=_RANK.get))
