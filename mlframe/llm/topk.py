@@ -42,13 +42,12 @@ class SortedLists:
         return lower, upper
 
 
-def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, depths: tuple[float, ...] = DEPTHS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, lists: SortedLists, k: int, depths: tuple[float, ...] = DEPTHS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query, the ids and scores of its k best vectors of this block, ties to the smaller id, never a vector of the query's own id.
 
     Lists are read to growing depths. The k-th best lower bound is what a result needs; a query stops when at most an eighth of the block, or 4 k vectors, have an upper bound as high, and these get their final scores; what is left after the last round is read to the end.
     """
-    lists = SortedLists(vectors)
-    n = len(ids)
+    vectors, n = lists.vectors, len(ids)
     enough = max(4 * k, n // 8)
     open_ = np.arange(len(query_ids))
     schedule = sorted({max(1, int(n * share)) for share in depths} | {n})
@@ -71,40 +70,45 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
         open_ = open_[~stop]
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, query_block: int = 1024, vector_block: int = 8192, depths: tuple[float, ...] = DEPTHS) -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, query_block: int = 16384, vector_block: int = 8192, depths: tuple[float, ...] = DEPTHS) -> DataFrame:
     """The k vectors of highest integer inner product for every query, exact; components are floor(scale * x).
 
-    Both tables are cut into blocks by a hash of the id; each pair of blocks is one group of bounded size, worked on by :func:`search_block`; the k best of each pair meet in a window that keeps k per task before the shuffle. Nothing is broadcast and nothing reaches the driver but two counts.
+    Both tables are cut into blocks by a hash of the id, for each length of vectors by itself; each pair of blocks is one group of bounded size, worked on by :func:`search_block` for some of its queries at a time; the k best of each pair meet in a window that keeps k per task before the shuffle. A vector is copied once for every ``query_block`` queries of its length and a query once for every ``vector_block`` vectors. Nothing is broadcast, and what reaches the driver is two counts for each length of vectors.
 
-    Columns: query_id, rank (from 1), vec_id, score. Ties go to the smaller vec_id; a vector with the query's own id takes no part, repeated rows included, while repeated ids of other vectors count each for itself, and a repeated query row counts once. Null ids and vectors, and vectors with null or non-finite components or a length unlike the longest vector's, take no part. Fewer candidates than k give fewer rows; an empty table gives none. Other columns are not read.
+    Columns: query_id, rank (from 1), vec_id, score. Ties go to the smaller vec_id; a vector with the query's own id takes no part, repeated rows included, while repeated ids of other vectors count each for itself; of a repeated query id the shortest and then smallest vector counts. A query meets the vectors of its own length. Null ids and vectors, empty vectors, and vectors with null or non-finite components take no part. Fewer candidates than k give fewer rows; an empty table gives none. Other columns are not read.
     """
     def numbers(df: DataFrame) -> DataFrame:
         vector = F.col(vector_col)
         whole = F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
-        return df.where(F.col(id_col).isNotNull() & vector.isNotNull()).where(whole).where(F.size(vector) > 0).select(F.col(id_col).cast("long").alias("id"), F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("double")).alias("v"))
+        return df.where(F.col(id_col).isNotNull() & vector.isNotNull()).where(whole).where(F.size(vector) > 0).select(F.col(id_col).cast("long").alias("id"), F.size(vector).alias("width"), F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("double")).alias("v"))
 
     let_workers_import(vectors.sparkSession)
-    q, x = numbers(queries).dropDuplicates(["id"]), numbers(vectors)
-    counts = q.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).unionAll(x.agg(F.count("*"), F.max(F.size("v")))).collect()
-    width = max((r["d"] or 0 for r in counts), default=0)
-    n_q, n_x = (max(1, -(-r["n"] // size)) for r, size in zip(counts, (query_block, vector_block), strict=True))
-    q, x = (df.where(F.size("v") == width) for df in (q, x))
-    block = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
-    span = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = q.select(block(n_q, 1).alias("qb"), span(n_x).alias("xb"), "id", "v")
-    x = x.select(F.pmod(F.xxhash64("id", "v", F.lit(2)), F.lit(n_x)).cast("int").alias("xb"), span(n_q).alias("qb"), "id", "v")
+    q = numbers(queries).groupBy("id").agg(F.min(F.struct("width", "v")).alias("m")).select("id", "m.*")
+    x = numbers(vectors)
+    blocks = {}
+    for side, (table, size) in enumerate(((q, query_block), (x, vector_block))):
+        for r in table.groupBy("width").agg(F.count("*").alias("n")).collect():
+            blocks.setdefault(r["width"], [0, 0])[side] = -(-r["n"] // size)
+    both = {width: n for width, n in blocks.items() if all(n)} or {0: [1, 1]}
+    number = lambda which: F.create_map(*[F.lit(v) for width, n in both.items() for v in (width, n[which])])[F.col("width")]
+    sized = lambda df: df.where(F.col("width").isin(list(both))).withColumn("n_q", number(0)).withColumn("n_x", number(1))
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = sized(q).select("width", F.pmod(F.xxhash64("id"), "n_q").cast("int").alias("qb"), span("n_x").alias("xb"), "id", "v")
+    x = sized(x).select("width", F.pmod(F.xxhash64("id", "v"), "n_x").cast("int").alias("xb"), span("n_q").alias("qb"), "id", "v")
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        found = list(search_block(left["id"].to_numpy(), np.stack(left["v"].to_numpy()), right["id"].to_numpy(), np.stack(right["v"].to_numpy()), k, depths))
+        found = []
+        if len(left) and len(right):
+            ids, lists = right["id"].to_numpy(), SortedLists(np.stack(right["v"].to_numpy()))
+            for at in range(0, len(left), 1024):
+                some = left.iloc[at : at + 1024]
+                found += search_block(some["id"].to_numpy(), np.stack(some["v"].to_numpy()), ids, lists, k, depths)
         if not found:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
         return pd.DataFrame({"query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found]).astype(np.int64)})
 
-    cells = n_q * n_x
-    q, x = (df.withColumn("cell", F.col("qb") * F.lit(n_x) + F.col("xb")).select("cell", "id", "v") for df in (q, x))
-    best = q.groupBy("cell").cogroup(x.groupBy("cell")).applyInPandas(work, RESULT) if cells else None
+    cell = ["width", "qb", "xb"]
+    best = q.groupBy(*cell).cogroup(x.groupBy(*cell)).applyInPandas(work, RESULT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
