@@ -46,17 +46,51 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return fits
 
 
+def decoded(text: Column) -> Column:
+    """``text`` with character references read, as far as addresses need them: those of printable ASCII characters by number, and the named ones of markup."""
+    found = F.regexp_extract_all(text, F.lit(r"&#(?:[xX]0{0,6}[0-7]?[0-9A-Fa-f]|0{0,6}[0-9]{1,3});"), F.lit(0))
+    digits = lambda r: F.regexp_replace(r, "[&#;xX]", "")
+    code = lambda r: F.when(F.contains(F.lower(r), F.lit("x")), F.conv(digits(r), 16, 10)).otherwise(digits(r)).cast("int")
+    read = lambda done, r: F.when(code(r) == 38, F.replace(done, r, F.lit("&amp;"))).when(code(r).between(32, 126), F.replace(done, r, F.char(code(r)))).otherwise(done)
+    out = F.when(F.contains(text, F.lit("&#")), F.aggregate(found, text, read)).otherwise(text)
+    for name, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        out = F.replace(out, F.lit(name), F.lit(character))
+    return out
+
+
+def without_dots(path: Column) -> Column:
+    """A path with its . and .. parts worked out; .. stops at the root."""
+    parts = F.split(path, "/")
+    up = lambda done: F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+    done = F.aggregate(parts, F.array().cast("array<string>"), lambda done, part: F.when(part == ".", done).when(part == "..", up(done)).otherwise(F.concat(done, F.array(part))))
+    end = F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    return F.when(F.contains(path, F.lit("/.")), F.concat(F.array_join(done, "/"), end)).otherwise(path)
+
+
+def resolved(target: Column, scheme: Column, host: Column, path: Column) -> Column:
+    """The whole url that a reference on a page of ``scheme``, ``host`` and ``path`` means; null if it names the page itself or has a scheme without a host."""
+    own = F.when(path == "", F.lit("/")).otherwise(path)
+    joined = F.when(F.startswith(target, F.lit("/")), target).when(F.startswith(target, F.lit("?")), F.concat(own, target)).otherwise(F.concat(F.regexp_extract(own, "(?s)^.*/", 0), target))
+    start, rest = F.regexp_extract(joined, r"(?s)^[^?#]*", 0), F.regexp_extract(joined, r"(?s)^[^?#]*(.*)$", 1)
+    return (
+        F.when((target == "") | F.startswith(target, F.lit("#")), F.lit(None).cast("string"))
+        .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target))
+        .when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
+        .when(host != "", F.concat(scheme, F.lit("://"), host, without_dots(start), rest))
+    )
+
+
 def links_of(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """Edges from the pages' own markup: canonical links, and refreshes that redirect; targets may be relative to the host."""
+    """Edges from the pages' own markup: canonical links, and refreshes that redirect. Character references in a target are read, and targets are resolved against the page's url."""
     html = F.col(html_col)
     link = F.regexp_extract(html, r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     refresh = F.regexp_extract(html, r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?\s*[\d.]*\s*[;,]?\s*url\s*=\s*'?([^\"'\s>]+)", 1)
     either = lambda x, word: F.when(F.contains(F.lower(html), F.lit(word)), x)
-    host, _ = host_and_path(F.col(url_col))
+    host, path = host_and_path(F.col(url_col))
     scheme = F.regexp_extract(F.col(url_col), r"^([^:/?#]*)://", 1)
-    found = pages.where(F.col(html_col).isNotNull()).select(F.col(url_col).alias("source"), host.alias("host"), scheme.alias("scheme"), F.explode(F.array_compact(F.array(either(link, "canonical"), either(refresh, "http-equiv")))).alias("target")).where("target <> ''")
-    whole = F.when(F.contains("target", F.lit("://")), F.col("target")).when(F.startswith("target", F.lit("//")), F.concat("scheme", F.lit(":"), "target")).when(F.startswith("target", F.lit("/")), F.concat("scheme", F.lit("://"), "host", "target"))
-    return found.select("source", whole.alias("target")).where("target is not null")
+    found = pages.where(F.col(html_col).isNotNull()).select(F.col(url_col).alias("source"), host.alias("host"), path.alias("path"), scheme.alias("scheme"), F.explode(F.array_compact(F.array(either(link, "canonical"), either(refresh, "http-equiv")))).alias("raw")).where("raw <> ''")
+    found = found.withColumn("target", decoded(F.col("raw")))
+    return found.select("source", resolved(F.col("target"), F.col("scheme"), F.col("host"), F.col("path")).alias("target")).where("target is not null")
 
 
 def filter_urls(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
@@ -118,17 +152,32 @@ WITH RECURSIVE p AS (
     regexp_extract(coalesce(rest, ''), '^([^/?#]*)([^?#]*)', 2) AS path
   FROM parts
 ), tags AS (
-  SELECT url AS source, host, regexp_extract(url, '^([^:/?#]*)://', 1) AS scheme,
+  SELECT url AS source, host, path, regexp_extract(url, '^([^:/?#]*)://', 1) AS scheme,
     unnest([
       regexp_extract(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\brel\s*=\s*["'']?canonical\b'))[1], '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
       regexp_extract(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b'))[1], '(?is)\bcontent\s*=\s*["'']?\s*[\d.]*\s*[;,]?\s*url\s*=\s*''?([^"''\s>]+)', 1)
     ]) AS target
   FROM q
-), links AS (
-  SELECT DISTINCT source, CASE WHEN contains(target, '://') THEN target WHEN target LIKE '//%' THEN scheme || ':' || target WHEN target LIKE '/%' THEN scheme || '://' || host || target END AS target
+), refs AS (
+  SELECT source, host, CASE WHEN path = '' THEN '/' ELSE path END AS own, scheme,
+    replace(replace(replace(replace(replace(list_reduce(list_prepend(target, regexp_extract_all(target, '&#(?:[xX]0{0,6}[0-7]?[0-9A-Fa-f]|0{0,6}[0-9]{1,3});')),
+      lambda done, r: CASE WHEN CAST(CASE WHEN lower(r) LIKE '&#x%' THEN '0x' ELSE '' END || regexp_replace(r, '[&#;xX]', '', 'g') AS INTEGER) = 38 THEN replace(done, r, '&amp;') WHEN CAST(CASE WHEN lower(r) LIKE '&#x%' THEN '0x' ELSE '' END || regexp_replace(r, '[&#;xX]', '', 'g') AS INTEGER) BETWEEN 32 AND 126 THEN replace(done, r, chr(CAST(CASE WHEN lower(r) LIKE '&#x%' THEN '0x' ELSE '' END || regexp_replace(r, '[&#;xX]', '', 'g') AS INTEGER))) ELSE done END),
+      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&') AS target
   FROM tags WHERE target <> ''
+), whole AS (
+  SELECT *, CASE WHEN target LIKE '/%' THEN target WHEN target LIKE '?%' THEN own || target ELSE regexp_extract(own, '(?s)^.*/') || target END AS joined FROM refs
+), dots AS (
+  SELECT *, regexp_extract(joined, '(?s)^[^?#]*') AS start, regexp_extract(joined, '(?s)^[^?#]*(.*)$', 1) AS rest, string_split(regexp_extract(joined, '(?s)^[^?#]*'), '/') AS parts FROM whole
+), links AS (
+  SELECT DISTINCT source, CASE WHEN target = '' OR target LIKE '#%' THEN NULL
+    WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target END
+    WHEN target LIKE '//%' THEN scheme || ':' || target
+    WHEN host <> '' THEN scheme || '://' || host || CASE WHEN contains(start, '/.') THEN
+      array_to_string(list_reduce(list_prepend([parts[1]], list_transform(parts[2:], lambda x: [x])), lambda done, x: CASE WHEN x[1] = '.' THEN done WHEN x[1] = '..' THEN CASE WHEN len(done) > 1 THEN done[1:len(done) - 1] ELSE done END ELSE done || x END), '/') || CASE WHEN parts[-1] IN ('.', '..') THEN '/' ELSE '' END
+      ELSE start END || rest END AS target
+  FROM dots
 ), urls AS (
-  SELECT url FROM pages UNION SELECT source FROM links UNION SELECT target FROM links
+  SELECT url FROM pages UNION SELECT source FROM links WHERE target IS NOT NULL UNION SELECT target FROM links WHERE target IS NOT NULL
 ), u AS (
   SELECT url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM urls WHERE url IS NOT NULL
 ), v AS (
