@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mlframe.llm.common import SPREAD, Words, discard, map_arrow, materialize, mix64, text_slices
@@ -101,15 +101,15 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, bands: in
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """doc_id and items (the shingle set) of the documents in ``ids``; of repeated ids one row is taken."""
+    """doc_id, a digest of the set, and items (the set of shingles) of the documents in ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 1 << 20):
             sets = text_sets(batch.column(1), size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "digest", "items"])
 
     some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(ids, "doc_id", "left_semi")
-    return map_arrow(some, run, "doc_id long, items array<long>")
+    return map_arrow(some, run, "doc_id long, digest binary, items array<long>")
 
 
 def sharp_sketches(sets: DataFrame) -> DataFrame:
@@ -191,12 +191,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are runs without ASCII white space, A-Z lower-cased. Steps: (1) per document its set's digest, MinHash bands and the odd sketch of its samples; (2) documents of equal sets become one class; (3) each band's bucket links its classes to a hub, the class that meets most others over all buckets, sketches rule out what is far below the threshold, full sets confirm the rest, and links give components; (4) in buckets that still hold several components, documents of different components meet by sharper sketches, made for these documents only, and then full sets, so no link between different texts is lost to the hub; (5) components over all links. A pair of similarity s shares no bucket with chance (1 - s**rows)**bands: 5e-8 at 0.8.
 
-    Columns: doc_id, n_shingles, component_id (smallest id reachable), kept (doc_id = component_id). One row per row of ``docs``. Texts that are null or without words have no shingles and are linked with nothing; with fewer words than ``shingle`` the whole sequence is one shingle. Rows of a null id are linked with nothing: component_id null, kept false. Repeated rows share their component. An empty table gives none; other columns are not read.
+    Columns: doc_id, n_shingles, component_id (smallest id reachable), kept (doc_id = component_id). One row per row of ``docs``. Texts that are null or without words have no shingles and are linked with nothing; with fewer words than ``shingle`` the whole sequence is one shingle. Rows of a null id are linked with nothing: component_id null, kept false. Repeated rows share their component; rows of one id with different texts are one document that is linked with whatever any of these texts is linked with. An empty table gives none; other columns are not read.
     """
     base = materialize(signatures(docs, id_col, text_col, shingle, bands, rows))
     real = base.where("n_shingles > 0 and doc_id is not null")
     classes = real.groupBy("high", "low").agg(F.min("doc_id").alias("rep"))
-    heads = materialize(real.join(classes, ["high", "low"]).where("doc_id = rep").select("doc_id", "bands", "sketch").dropDuplicates(["doc_id"]))
+    heads = materialize(real.join(classes, ["high", "low"]).where("doc_id = rep").select("doc_id", "high", "low", "bands", "sketch").dropDuplicates(["doc_id", "high", "low"]).drop("high", "low"))
     banded = heads.select("doc_id", F.explode("bands").alias("bucket"))
     busy = materialize(banded.join(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"))
     company = busy.groupBy("doc_id").agg(F.sum("n").alias("company"))
@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         side = lambda name: heads.select(F.col("doc_id").alias(name), F.col("sketch").alias(f"sketch_{name}"))
         return pairs.join(side("b"), "b").join(side("a"), "a").where(flips(F.col("sketch_a"), F.col("sketch_b")) <= limit).select("a", "b")
 
-    sets = materialize(full_sets(docs, busy.select("doc_id").distinct(), id_col, text_col, shingle).dropDuplicates(["doc_id"]))
+    sets = materialize(full_sets(docs, busy.select("doc_id").distinct(), id_col, text_col, shingle).where(F.size("items") > 0).dropDuplicates(["doc_id", "digest"]))
     spokes = busy.where("doc_id <> hub").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
     first = materialize(confirm(sketched(spokes), sets, numerator, denominator))
     groups = connected_components(first)
@@ -226,6 +226,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return done.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs``, all columns, of the document of smallest id of every group of :func:`near_duplicates`; equal rows of one id and text once.
+
+    Rows without an id are in no group and stay as they are. An empty table stays empty.
+    """
+    found = materialize(near_duplicates(docs, id_col, text_col, **how).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct())
+    known = docs.where(F.col(id_col).isNotNull()).withColumn("_id", F.col(id_col).cast("long")).join(found, "_id", "left_anti")
+    once = known.withColumn("_row", F.row_number().over(Window.partitionBy("_id", text_col).orderBy("_id"))).where("_row = 1")
+    return once.select(*docs.columns).unionAll(docs.where(F.col(id_col).isNull()))
+
+
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Contract query: three-word shingles, similarity 0.85."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, numerator=85)
