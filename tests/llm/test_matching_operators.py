@@ -1,7 +1,9 @@
 """Substring dedup, near-duplicates, decontamination, top-k, URLs, HTML and components against brute force."""
 
 import hashlib
+import html
 import random
+import time
 import re
 from collections import defaultdict
 
@@ -174,8 +176,11 @@ def test_decontamination_edges(spark):
     items = spark.createDataFrame([(1, item, "x"), (2, None, "x"), (3, "", "x"), (4, "q1 q2 q3", "x"), (None, item, "x"), (1, item, "x")], "item_id long, text string, doc_id string")
     got = sorted((r["doc_id"], r["item_id"]) for r in decontamination.contained(docs, items, broadcast_rows=0).collect())
     n = len(TEXTS)
-    assert got == [(n, 1), (n + 1, 1), (n + 2, 1), (n + 3, 4)]
+    assert got == [(n, 1), (n, 4), (n + 1, 1), (n + 1, 4), (n + 2, 1), (n + 2, 4), (n + 3, 4), (n + 4, 4)]  # short items stand inside long documents
     assert got == sorted((r["doc_id"], r["item_id"]) for r in decontamination.contained(docs, items).collect())
+    short = spark.createDataFrame([(1, "answer is forty two"), (2, "Cat"), (3, "two is"), (4, "sat on the mat and then")], "item_id long, text string")
+    inside = documents(spark, [*TEXTS, "the answer is, forty two. Or so"])
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontamination.contained(inside, short).collect()) == [(4, 2), (4, 4), (5, 2), (5, 4), (n, 1)]
     assert decontamination.contained(docs.limit(0), items).count() == 0 and decontamination.contained(docs, items.limit(0)).count() == 0
     plan = decontamination.contained(docs, items)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -203,6 +208,9 @@ def test_topk_edges(spark):
         own = next(v for i, v in good if i == q)
         want = sorted(((int(v @ own), i) for i, v in good if i != q), key=lambda x: (-x[0], x[1]))[:5]
         assert found == [(i, s) for s, i in want]
+    mixed = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 1.0]), (3, [0.5, 0.5]), (4, [9.0, 9.0, 9.0]), (50, [1.0, 1.0]), (100, [1.0]), (100, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    found = [(r["query_id"], r["vec_id"], r["score"]) for r in topk.top_k(mixed.where("vec_id % 50 = 0"), mixed).orderBy("query_id", "rank").collect()]
+    assert found == [(50, 2, 262144), (50, 1, 196608), (50, 3, 65536), (50, 100, 65536)]  # one longer vector hides nobody
     assert topk.top_k(df.limit(0), df).count() == 0 and topk.top_k(df, df.limit(0)).count() == 0
 
 
@@ -236,12 +244,24 @@ def test_url_aliases(spark, tmp_path):
         (9, "http://example.org/fr/1", '<link rel="canonical" href="http://a.net/x">'),
         (10, "http://xnet/a", ""),
         (10, "http://xnet/a", ""),
+        (11, "http://d.com/p/q/r.html?v=1", '<link rel="canonical" href="y2">'),
+        (12, "http://d.com/p/q/y2", ""),
+        (13, "http://d.com/p/q/y2", '<link rel="canonical" href="../../k/./z?a=1&amp;b=2">'),
+        (14, "http://d.com/k/z?a=1&b=2", '<link rel="canonical" href="?c=&#51;&#x26;d">'),
+        (15, "http://d.com/k/z?c=3&d", '<meta http-equiv="refresh" content="0; url=/r?u=http://a.net/x">'),
+        (16, "http://d.com/r?u=http://a.net/x", '<link rel="canonical" href="#top">'),
+        (17, "http://e.com", '<link rel="canonical" href="mailto:x">'),
+        (18, "http://f.com/a/b/", '<link rel="canonical" href="../..">'),
+        (19, "http://f.com/", ""),
+        (20, "http://d.com/p/y2", ""),
     ]
     pages = spark.createDataFrame([(*r, "v") for r in rows], "page_id long, url string, html string, verdict string")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.filter_urls(pages).collect()}
     assert got[1] == ("a.net", "/x", "net/", "block") and got[9][2:] == ("org/fr/", "allow")
     assert got[2][3] == got[3][3] == got[8][3] == "allow"  # the explicit allow of page 9 outweighs the block of page 1
     assert got[6][3] == got[7][3] == "allow" and got[4] == ("", "", None, "allow") and got[10][2] is None
+    component = {r["page_id"]: r["component"] for r in urls.filter_urls(pages).collect()}
+    assert len({component[k] for k in range(11, 17)}) == 1 and component[11] not in (None, component[1]) and component[18] == component[19] == "f.com" and component[17] is None and component[20] is None
     fewer = {r["page_id"]: r["verdict"] for r in urls.filter_urls(pages.where("page_id <> 9")).collect()}
     assert fewer[2] == fewer[3] == fewer[8] == "block" and fewer[1] == "block"
     more = spark.createDataFrame([("http://xnet/a", "http://b.com/y")], "source string, target string")
@@ -251,6 +271,21 @@ def test_url_aliases(spark, tmp_path):
     compare_sql(urls.filter_urls(pages.drop("verdict")), urls.OP8_SQL, pages=f"{tmp_path}/p/*.parquet")
 
 
+def test_alias_chains_cycles_and_a_hot_component(spark):
+    # A chain of pages, a cycle, and one page with very many aliases.
+    link = lambda k, url, to: (k, url, f'<link rel="canonical" href="{to}">')
+    rows = [link(k, f"http://c.com/{k}", f"{k + 1}") for k in range(200)] + [(200, "http://example.org/fr/1", "")] + [link(201, "http://c.com/200", "//example.org/fr/1")]
+    rows += [link(1000 + k, f"http://ring.com/{k}", f"/{(k + 1) % 50}") for k in range(50)]
+    rows += [link(10_000 + k, f"http://hot{k % 7}.com/p{k}", "http://x.net/all") for k in range(20_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    got = {r["page_id"]: r for r in urls.filter_urls(pages).collect()}
+    assert len(got) == len(rows)
+    assert all(got[k]["verdict"] == "allow" and got[k]["via"] == "alias" for k in range(200)) and got[200]["via"] == "rule"
+    assert len({got[k]["component"] for k in range(202)}) == 1
+    assert all(got[1000 + k]["component"] == "ring.com/0" and got[1000 + k]["via"] == "default" for k in range(50))
+    assert all(got[10_000 + k]["verdict"] == "block" and got[10_000 + k]["via"] == "alias" for k in range(20_000))
+
+
 # HTML
 
 
@@ -272,6 +307,57 @@ def test_blocks(page, want):
     assert "\n\n".join(t for t, m in zip(texts, marks, strict=True) if m == "c") == want
 
 
+def test_no_text_is_lost_to_quotes_and_time_is_linear():
+    for page, want in [("<article><p class=it's>hello</p><p>you</article>", "hello\n\nyou"), ("<article><b title='x>y'>a</b> <i q=\"u>b</i> c</article>", "a b c"), ("<article>1 <b x=it's y=\"'\">2</b></article>", "1 2")]:
+        texts, marks = html_text.blocks_of(page)
+        assert "\n\n".join(t for t, m in zip(texts, marks, strict=True) if m == "c") == want
+    for piece in ("<a '", "<a x='", '<a "', "<a", "</", "<!", "<!--", "<script>", "</script", "<a x='>", "<a b=c "):
+        for end in ("", ">"):
+            began = time.perf_counter()
+            html_text.blocks_of(piece * 100_000 + end)
+            assert time.perf_counter() - began < 5, piece
+
+
+def slow_blocks(page):
+    # The text inside article by a character-at-a-time reader, for pages of plain elements.
+    out, piece, depth, at = [], "", 0, 0
+    def flush():
+        nonlocal piece
+        text = " ".join(html.unescape(piece).split())
+        if text and depth:
+            out.append(text)
+        piece = ""
+    while at < len(page):
+        if page[at] != "<":
+            piece, at = piece + page[at], at + 1
+            continue
+        end, quote, last = at + 1, "", ""
+        while quote or page[end] != ">":
+            if quote and page[end] == quote:
+                quote = ""
+            elif not quote and page[end] in "'\"" and last == "=":
+                quote = page[end]
+            last, end = page[end], end + 1
+        name = page[at + 1 : end].split()[0].rstrip("/")
+        if name.strip("/") in ("p", "article", "h1", "li", "ul"):
+            flush()
+        elif name in ("br", "td"):
+            piece += " "
+        depth += {"article": 1, "/article": -1}.get(name, 0)
+        at = end + 1
+    flush()
+    return out
+
+
+def test_blocks_against_a_slow_reader():
+    rng = random.Random(12)
+    bits = ["<p>", "</p>", "<b>bold</b>", "<h1 id=x>", "</h1>", "<ul><li>", "</ul>", "<br>", "<a href=\"a>b\">li nk</a>", "<i title='>'>it<b x=1>al</b></i>", "<p data-x=it's>", "word ", " two\nlines", "&amp;", "&lt;b&gt;", "&#65;", "<br/>", " 1 "]
+    for _ in range(300):
+        page = "<div>x</div><article>" + "".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) + "</article><p>y</p>"
+        texts, marks = html_text.blocks_of(page)
+        assert [t for t, m in zip(texts, marks, strict=True) if m == "c"] == slow_blocks(page), page
+
+
 def test_repeats_against_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(100):

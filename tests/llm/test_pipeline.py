@@ -34,6 +34,28 @@ def test_stages(spark, tmp_path):
     assert after.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max("padded_length").alias("m")).where("n <> m").count() == 0
 
 
+def test_stages_on_awkward_rows(spark):
+    # Null ids and texts, repeated rows, planted benchmark passages and secrets; then empty tables.
+    d = "/root/testdata/sf0.001"
+    item = next(r["text"] for r in spark.read.parquet(f"{d}/benchmark.parquet").collect() if len(r["text"].split()) >= 8)
+    clean = [r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").where("lang = 'en' and length(text) between 300 and 900").orderBy("doc_id").limit(6).collect()]
+    rows = [(1, clean[0]), (1, clean[0]), (2, clean[1]), (3, clean[0]), (4, None), (5, ""), (None, clean[2]), (6, f"{clean[3]} {item} {clean[4]}"), (7, f"{clean[5]} password = hG7tR2xQ9vLmZ4"), (7, clean[1] + " x")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    everything = spark.read.parquet(f"{d}/documents.parquet").select(*docs.columns)
+    stages = dict(corpus_pipeline.STAGES)
+    named = stages["language ID"](spark, docs.unionByName(everything.where("doc_id > 100")), d).where("doc_id <= 7 or doc_id is null")
+    assert found(named) == sorted([(i, t) for i, t in rows if t], key=str)
+    once = stages["near-duplicates"](spark, docs, d)
+    assert [i for i, _ in found(once)].count(1) == 1 and 3 not in [i for i, _ in found(once)] and (None, clean[2]) in found(once) and (4, None) in found(once) and (5, "") in found(once)
+    left = stages["benchmark decontamination"](spark, docs, d)
+    assert found(left) == sorted([x for x in rows if x[0] != 6], key=str)
+    masked = stages["secret masking"](spark, docs, d)
+    assert sorted(i for i, t in found(masked) if t and "hG7tR2xQ9vLmZ4" in t) == [] and len(found(masked)) == len(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), d).count() == 0, name
+
+
 def test_run(spark):
     d = "/root/testdata/sf0.001"
     assert corpus_pipeline.run(spark, d).count() > 0

@@ -74,8 +74,43 @@ def test_language_edges(spark, model):
     assert kept.columns == docs.columns and not {0, 1, 2} & {r["doc_id"] for r in kept.collect()}
     junk = spark.createDataFrame([(1, "xqzj kvwx qqqq zzxx jjkk " * 20)], "doc_id long, text string")
     assert language_id.identify(junk, model).first()["rejected"]
-    with pytest.raises(ValueError):
-        language_id.fit(docs.where("false"))
+    nothing = language_id.fit(docs.where("false"))
+    assert {tuple(r)[1:3] for r in language_id.identify(docs, nothing).collect()} == {("und", 0.0)}
+    assert language_id.keep_identified(docs.limit(0), nothing).count() == 0
+
+
+def test_texts_without_letters(model):
+    # Emoji, digits and marks alone are no letters; letters beyond the basic plane are.
+    texts = ["\U0001f600 12 \U0001f680", "\u0301\u0302", "\u2460\u2461", "\U0001d518\U0001d519", "\u00fcber", "u\u0308ber"]
+    lang = model.judge(texts)[0]
+    assert lang[:3] == ["und"] * 3 and "und" not in lang[3:]
+    assert language_id.symbols(["a\u0308\u0301b \u0301c"])[0].tolist()[3:] == [97, 0x308, 0x301, 98, 32, 99]
+
+
+def test_long_texts_are_scored_whole(model, monkeypatch):
+    texts = ["the and of that with this " * 300, "", "der die und nicht " * 7, "the"]
+    whole, counts = model.cross_entropy(texts)
+    line = language_id.symbols(texts)[0].tolist()
+    monkeypatch.setattr(language_id, "CHUNK", 97)
+    monkeypatch.setattr(language_id, "PIECE", 11)
+    assert language_id.symbols(texts)[0].tolist() == line
+    parts, again = model.cross_entropy(texts)
+    assert np.allclose(whole, parts, equal_nan=True) and (counts == again).all()
+
+
+def test_rejection_is_calibrated(spark):
+    # Held-out documents are hardly ever rejected, random letters are.
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and text is not null")
+    rng = np.random.default_rng(4)
+    junk = [" ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 7)) for _ in range(60)) for _ in range(200)]
+    for left_out in ("de", "fr"):
+        fitted = language_id.fit(docs.where(~language_id.held_out()).where(F.col("lang") != left_out))
+        rate = lambda df: language_id.identify(df, fitted).agg(F.avg(F.col("rejected").cast("double"))).first()[0]  # noqa: B023, E731
+        own = rate(docs.where(language_id.held_out()).where(F.col("lang") != left_out))
+        other = rate(docs.where(F.col("lang") == left_out).where("length(text) > 200"))
+        noise = rate(spark.createDataFrame([(k, t) for k, t in enumerate(junk)], "doc_id long, text string"))
+        print(f"rejected: own {own:.5f}, {left_out} (not learned) {other:.3f}, random letters {noise:.3f}", fitted.limit)
+        assert own <= 0.005 and noise >= 0.95
 
 
 def test_language_held_out(spark):
@@ -120,7 +155,7 @@ def test_licenses_against_brute_force(spark):
         ("GPL-2.0-only OR MIT", "gpl-2.0-only mit or", "permissive"),
         ("(MIT AND GPL-3.0-or-later) and then more", "mit gpl-3.0-or-later and", "copyleft"),
         ("MIT OR Apache-2.0 AND GPL-2.0", "mit apache-2.0 gpl-2.0 and or", "permissive"),
-        ("GPL-2.0-only WITH Classpath-exception-2.0", "gpl-2.0-only classpath-exception-2.0 with", "permissive"),
+        ("GPL-2.0-only WITH Classpath-exception-2.0", "gpl-2.0-only classpath-exception-2.0 with", "copyleft"),
         ("(MIT OR", "", None),
         ("and or", "", None),
     ],
@@ -150,6 +185,14 @@ def test_token_ids_equal_the_library():
         assert np.frombuffer(own(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_long_texts_are_tokenised_in_pieces(monkeypatch):
+    own = packing.Encoder(TOKENIZER)
+    texts = [t for t in TEXTS if t] + ["ab cd  ef\n gh don't 12 x <|endoftext|>y zz " * 50, "x" * 500]
+    whole = [own(t) for t in texts]
+    monkeypatch.setattr(packing, "PIECE", 17)
+    assert [own(t) for t in texts] == whole
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
