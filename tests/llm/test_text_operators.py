@@ -244,13 +244,58 @@ def forest(spark):
     return secrets.fit_forest(secrets.labelled_findings(spark, 1200))
 
 
+def scored(spark, forest, findings):
+    rows = findings.select("label", secrets.features(F.col("match"), F.col("before"), F.col("after"), forest.transitions, forest.dictionary).alias("f"))
+    return rows.withColumn("score", sum((secrets.vote(t, F.col("f")) for t in forest.trees), F.lit(0.0)) / len(forest.trees)).collect()
+
+
 def test_forest_expression_equals_the_trees(spark, forest):
-    rows = secrets.labelled_findings(spark, 120).select(secrets.features(F.col("match"), F.col("before"), F.col("after")).alias("f"), "label")
-    score = sum((secrets.vote(t, F.col("f")) for t in forest[1:]), secrets.vote(forest[0], F.col("f"))) / len(forest)
-    got = rows.select("f", "label", score.alias("s")).collect()
-    for r in got:
-        assert r["s"] == pytest.approx(sum(secrets.vote_in_python(t, r["f"].asDict()) for t in forest) / len(forest))
-    assert np.mean([(r["s"] >= 0.5) == bool(r["label"]) for r in got]) >= 0.97
+    for r in scored(spark, forest, secrets.labelled_findings(spark, 120)):
+        row = r["f"].asDict()
+        assert r["score"] == pytest.approx(sum(secrets.vote_in_python(t, row) for t in forest.trees) / len(forest.trees))
+
+
+def test_forest_on_findings_it_has_not_seen(spark, forest):
+    rows = scored(spark, forest, secrets.labelled_findings(spark, 1200, start=50_000))
+    said, true = [r["score"] >= 0.5 for r in rows], [r["label"] == 1 for r in rows]
+    hit = sum(s and t for s, t in zip(said, true, strict=True))
+    print(f"precision {hit / sum(said):.3f}, recall {hit / sum(true):.3f} of {len(rows)} findings")
+    assert hit >= 0.97 * sum(said) and hit >= 0.97 * sum(true)
+
+
+def test_planted_secrets_of_documents(spark, forest):
+    # Documents carry assigned tokens; digests, card numbers and the like are no secrets.
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text is not null")
+    planted = {r["doc_id"]: set(re.findall(r'token = "([0-9a-f]{40})"', r["text"])) for r in docs.where(F.contains("text", F.lit("token = "))).collect()}
+    found = {r["doc_id"]: {s["value"] for s in r["secrets"]} for r in secrets.scan(docs, forest).where("n_secrets > 0").collect()}
+    hit, said, true = sum(len(found.get(k, set()) & v) for k, v in planted.items()), sum(map(len, found.values())), sum(map(len, planted.values()))
+    print(f"planted tokens: precision {hit / said:.3f}, recall {hit / true:.3f} of {true}")
+    assert true > 50 and hit >= 0.99 * true and hit >= 0.9 * said
+
+
+def test_transitions_against_counting(spark, forest):
+    values = ["config", "a1-B2", "", "x", "Zz9" * 700]
+    df = spark.createDataFrame([(v,) for v in values], "value string")
+    table = secrets.learn_transitions(df)
+    size = len(secrets.SYMBOLS)
+    sign = lambda v: ["abcdefghijklmnopqrstuvwxyz".find(c) if c.isalpha() else 26 if c.isdigit() else 27 for c in v.lower()]
+    pieces = [[sign(v)[k : k + 1024] for k in range(0, len(v), 1024)] for v in values]
+    counts = np.ones((size, size))
+    for p in sum(pieces, []):
+        for a, b in zip(p, p[1:]):
+            counts[a, b] += 1
+    want = np.log(counts / counts.sum(1, keepdims=True))
+    assert np.allclose(np.array(table).reshape(size, size), want)
+    got = [r[0] for r in df.select(secrets.mean_transition(F.col("value"), table)).collect()]
+    for p, x in zip(pieces, got, strict=True):
+        pairs = [want[a, b] for q in p for a, b in zip(q, q[1:])]
+        assert x == pytest.approx(np.mean(pairs) if pairs else 0.0)
+
+
+def test_no_findings_no_secrets(spark):
+    nothing = secrets.fit_forest(secrets.labelled_findings(spark, 12).where("label = 0"))
+    row = secrets.scan(documents(spark, ['token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"']), nothing).where("doc_id = 0").first()
+    assert row["n_candidates"] == 1 and row["n_secrets"] == 0
 
 
 def test_secrets(spark, forest):
