@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mlframe.errors import InvalidParameter
 from mlframe.functions.exprs import missing, nan_to_null
 from mlframe.operators.base import Model, Step
+from mlframe.plans.selection import MostFrequent, Quantiles
 
 
 @dataclass
@@ -39,8 +40,9 @@ class SimpleImputer(Step):
             raise InvalidParameter(f"unknown strategy {self.strategy!r}")
 
     def aggregates(self, columns):
-        of = {"mean": F.avg, "median": F.median, "most_frequent": lambda c: F.mode(c, True), "constant": lambda c: F.when(F.count(c) > 0, F.lit(float(self.fill)))}[self.strategy]
-        return {c: F.coalesce(of(nan_to_null(c)).cast("double"), F.lit(0.0)) for c in columns}
+        of = {"mean": F.avg, "median": lambda c: Quantiles(c, [0.5]), "most_frequent": MostFrequent, "constant": lambda c: F.when(F.count(c) > 0, F.lit(float(self.fill)))}[self.strategy]
+        return {c: of(nan_to_null(c)) for c in columns}
 
     def model(self, columns, found):
-        return ImputerModel(columns, [float(found[c]) for c in columns])
+        plain = [found[c][0] if isinstance(found[c], list) else found[c] for c in columns]
+        return ImputerModel(columns, [0.0 if v is None else float(v) for v in plain])

@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mlframe.functions.exprs import ieee_div
+from mlframe.plans.selection import Quantiles, quantiles
 
-def regression_metrics(label: Column, prediction: Column) -> list[Column]:
-    """mse, rmse, mae and r2; all 0 without rows. r2 of a constant label is 1 for a perfect prediction, else 0."""
+
+def regression_metrics(label: Column, prediction: Column, guard: bool = True) -> list[Column]:
+    """mse, rmse, mae and r2; all 0 without rows. r2 of a constant label is 1 for a perfect prediction, else 0; without ``guard`` it is what the division gives (NaN or minus infinity)."""
     error = prediction - label
     squares = F.coalesce(F.sum(error * error), F.lit(0.0))
     spread = F.var_pop(label) * F.count(label)
     mse = F.coalesce(F.avg(error * error), F.lit(0.0))
     r2 = F.when(F.count(label) == 0, 0.0).when(spread == 0, F.when(squares == 0, 1.0).otherwise(0.0)).otherwise(1.0 - F.try_divide(squares, spread))
+    if not guard:
+        r2 = 1.0 - ieee_div(squares, F.coalesce(spread, F.lit(0.0)))
     return [mse.alias("mse"), F.sqrt(mse).alias("rmse"), F.coalesce(F.avg(F.abs(error)), F.lit(0.0)).alias("mae"), r2.alias("r2")]
 
 
@@ -33,6 +38,6 @@ def evaluate_classification(df: DataFrame, label: str = "label", predicted: str
 
 
 def timing_summary(df: DataFrame, column: str) -> DataFrame:
-    """mean, std, min, max, and median, p95 and p99 as members of the sample (the one at index floor(n * q), the last at most)."""
-    at = lambda q: F.element_at(F.array_sort(F.collect_list(column)), F.least((F.floor(F.count(column) * q) + 1).cast("int"), F.count(column).cast("int")))
-    return df.agg(F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"), at(0.5).alias("median"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    """mean, std, min, max, and median, p95 and p99 as members of the sample (the one at index floor(n * q), the last at most); all null without rows."""
+    members = quantiles(df, [Quantiles(F.col(column), [0.5, 0.95, 0.99], member=True)])[0] or [None] * 3
+    return df.agg(F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"), *[F.lit(v).cast("double").alias(name) for name, v in zip(("median", "p95", "p99"), members, strict=True)])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mlframe.errors import InvalidParameter
 from mlframe.functions.exprs import INF, ieee_div, nan_to_null, total
 from mlframe.operators.base import Model, Step
+from mlframe.plans.selection import Quantiles
 
 
 @dataclass
@@ -108,8 +109,7 @@ class RobustScaler(Step):
 
     def aggregates(self, columns):
         at = [self.lower / 100, self.upper / 100, 0.5]
-        quantiles = (lambda c: F.percentile_approx(c, at, self.accuracy)) if self.accuracy else (lambda c: F.percentile(c, F.array(*map(F.lit, at))))
-        return {c: quantiles(nan_to_null(c)) for c in columns}
+        return {c: F.percentile_approx(nan_to_null(c), at, self.accuracy) if self.accuracy else Quantiles(nan_to_null(c), at) for c in columns}
 
     def model(self, columns, found):
         quantiles = [found[c] or [0.0, 0.0, 0.0] for c in columns]
