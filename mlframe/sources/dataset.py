@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,6 +26,14 @@ def from_rows(spark: SparkSession, features: list[list[float]], target: list[flo
     return spark.createDataFrame([(k, *map(float, r), float(t)) for k, (r, t) in enumerate(zip(features, target, strict=True))], schema)
 
 
+def to_rows(df: DataFrame, features: list[str], label: str, order_by: str, max_rows: int = 1_000_000) -> tuple[list[list[float]], list[float]]:
+    """The reverse of :func:`from_rows`: features and targets as lists, in order. More than ``max_rows`` rows are an error, as they go to the driver."""
+    found = df.orderBy(order_by).select(*features, label).limit(max_rows + 1).collect()
+    if len(found) > max_rows:
+        raise InvalidParameter(f"more than {max_rows} rows")
+    return [[float(v) for v in r[:-1]] for r in found], [float(r[-1]) for r in found]
+
+
 def read_csv(spark: SparkSession, path: str, names: list[str], strict: bool = False) -> DataFrame:
     """Columns of doubles from a file with a header. An unreadable cell is 0, or with ``strict`` an error; rows of another width are kept with what they have, or with ``strict`` left out."""
     raw = spark.read.csv(path, header=True, schema=T.StructType([T.StructField(n, T.StringType()) for n in names]), enforceSchema=True, mode="DROPMALFORMED" if strict else "PERMISSIVE")
@@ -37,27 +47,43 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def _range_of(key: Column, cuts: list[float], low: int = 0) -> Column:
-    """Number of ``cuts`` at or below the key, by halving."""
-    if not cuts:
-        return F.lit(low)
-    half = len(cuts) // 2
-    return F.when(key < F.lit(cuts[half]), _range_of(key, cuts[:half], low)).otherwise(_range_of(key, cuts[half + 1 :], low + half + 1))
+def _range_of(key: Column, cuts: list[float]) -> Column:
+    """Number of ``cuts`` (rising) at or below the key: by halving, and beyond 256 cuts by a row of them that halving picks."""
+    if len(cuts) > 256:
+        width = math.isqrt(len(cuts)) + 1
+        rows = [cuts[k : k + width] for k in range(0, len(cuts), width)]
+        at = _range_of(key, [row[0] for row in rows[1:]])
+        own = F.element_at(F.from_json(F.lit(json.dumps(rows)), "array<array<double>>"), at + 1)
+        return (at * width + F.size(F.filter(own, lambda c: c <= key))).cast("int")
+
+    def halve(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        half = (low + high) // 2
+        return F.when(key < F.lit(cuts[half]), halve(low, half)).otherwise(halve(half + 1, high))
+
+    return halve(0, len(cuts))
 
 
-def with_row_ids(df: DataFrame, order_by: str, name: str = "row_id") -> DataFrame:
-    """Numbers rows from 0 in the order of a numeric column (unique, not missing), without putting all rows into one task.
+def with_row_ids(df: DataFrame, order_by: str, name: str = "row_id", ranges: int | None = None) -> DataFrame:
+    """Numbers rows from 0 in the order of a numeric column, without putting all rows into one task.
 
-    Quantiles cut the keys into as many ranges as there are shuffle partitions; an aggregate counts each range's rows, and a row's number is its place within its range plus the rows of the ranges before. Only the counts, one number a range, are broadcast.
+    Quantiles from a sketch cut the keys into ``ranges`` (as many as there are shuffle partitions); an aggregate counts each range's rows, and a row's number is its place within its range plus the rows of the ranges before. Only the counts, one number a range, are broadcast. A missing or repeated key is an error at execution: it has no place in the order.
     """
     if not isinstance(df.schema[order_by].dataType, T.NumericType):
         raise InvalidParameter("order_by has to be a numeric column")
-    ranges = min(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    cuts = sorted(set(df.approxQuantile(order_by, [k / ranges for k in range(1, ranges)], 0.5 / ranges)))
-    parted = df.withColumn("_part", _range_of(F.col(order_by).cast("double"), cuts))
+    ranges = max(1, min(1 << 16, ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
+    key = F.col(order_by).cast("double")
+    shares = F.from_json(F.lit(json.dumps([k / ranges for k in range(1, ranges)])), "array<double>") if ranges > 1 else F.array(F.lit(0.5))
+    cuts = df.agg(F.percentile_approx(key, shares, F.lit(max(1000, 10 * ranges)))).first()[0] or []
+    cuts = sorted({c for c in cuts if c == c}) if ranges > 1 else []
+    checked = F.when(key.isNull() | F.isnan(key), F.raise_error(F.lit(f"missing key in {order_by}")).cast("int")).otherwise(_range_of(key, cuts))
+    parted = df.withColumn("_part", checked)
     counts = parted.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    within = parted.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(order_by)) - 1)
+    order = Window.partitionBy("_part").orderBy(order_by)
+    place = F.when(F.lag(order_by).over(order) == F.col(order_by), F.raise_error(F.lit(f"repeated key in {order_by}")).cast("int")).otherwise(F.row_number().over(order) - 1)
+    within = parted.withColumn("_place", place)
     return within.join(F.broadcast(before), "_part").withColumn(name, (F.col("_place") + F.col("_before")).cast("long")).drop("_part", "_place", "_before")
 
 
