@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 from abc import ABC, abstractmethod
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mlframe.errors import InvalidParameter, MlframeError, SerializationError
@@ -66,18 +66,50 @@ class Model(ABC):
         return cls(**values)
 
     def save(self, path: str) -> None:
-        with open(path, "w", encoding="utf-8") as f:
-            json.dump(pack(self), f)
+        write_text(path, json.dumps(pack(self)))
 
     @staticmethod
     def load(path: str) -> Model:
         try:
-            with open(path, encoding="utf-8") as f:
-                return unpack(json.load(f))
+            return unpack(json.loads(read_text(path)))
         except (ValueError, KeyError, TypeError) as e:
             raise SerializationError(f"{path}: {e}") from e
 
 
+def _file_system(path: str):
+    """Spark's file system for a path and the path in it, so a model can go wherever tables can; (None, path) without a session."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return None, path
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def write_text(path: str, text: str) -> None:
+    system, place = _file_system(path)
+    if system is None:
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(text)
+        return
+    out = system.create(place, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def read_text(path: str) -> str:
+    system, place = _file_system(path)
+    if system is None:
+        with open(path, encoding="utf-8") as f:
+            return f.read()
+    stream = system.open(place)
+    try:
+        return SparkSession.getActiveSession().sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def pack(model: Model) -> dict:
     return {"class": type(model).__name__, "values": model.to_dict()}
 

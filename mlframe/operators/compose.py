@@ -24,6 +24,14 @@ class PipelineModel(Model):
     def __len__(self) -> int:
         return len(self.steps)
 
+    @property
+    def is_empty(self) -> bool:
+        return not self.steps
+
+    @property
+    def step_names(self) -> list[str]:
+        return list(self.names)
+
     def outputs(self, columns: list[Column]) -> list[tuple[str, Column]]:
         named = list(zip(self.input_cols, columns, strict=True))
         for step in self.steps:
@@ -68,6 +76,17 @@ class ColumnTransformerModel(Model):
     input_cols: list[str]
     parts: list[tuple[str, Model]]
 
+    def __len__(self) -> int:
+        return len(self.parts)
+
+    @property
+    def is_empty(self) -> bool:
+        return not self.parts
+
+    @property
+    def step_names(self) -> list[str]:
+        return [name for name, _ in self.parts]
+
     def outputs(self, columns: list[Column]) -> list[tuple[str, Column]]:
         by_name = dict(zip(self.input_cols, columns, strict=True))
         return [(f"{name}__{out}", c) for name, model in self.parts for out, c in model.outputs([by_name[i] for i in model.input_cols])]

@@ -42,10 +42,15 @@ class OneHotModel(Model):
     def outputs(self, columns: list[Column]) -> list[tuple[str, Column]]:
         out = []
         for name, c, categories in zip(self.input_cols, columns, self.categories, strict=True):
+            # The category of a row, once for all its columns: generated code shares what every output begins with.
             whole = F.round(c)
-            known = ~missing(c) & (F.abs(c - whole) < NEAR) & whole.isin([float(k) for k in categories])
-            other = F.lit(0.0) if self.unknown == "ignore" else F.when(known, F.lit(0.0)).otherwise(stop(f"unknown category in {name}", "double"))
-            out += [(f"{name}_{k}", F.when(~missing(c) & (F.abs(c - k) < NEAR), F.lit(1.0)).otherwise(other)) for k in categories]
+            key = F.when(~missing(c) & (F.abs(c - whole) < NEAR) & whole.between(0.0, float(MOST)), whole.cast("int"))
+            if self.unknown == "ignore":
+                key = F.coalesce(key, F.lit(-1))
+            else:
+                known = F.find_in_set(key.cast("string"), F.lit(",".join(map(str, categories)))) > 0
+                key = F.when(known, key).otherwise(stop(f"unknown category in {name}", "int"))
+            out += [(f"{name}_{k}", (key == F.lit(k)).cast("double")) for k in categories]
         return out
 
     def inverse_outputs(self, columns: list[Column]) -> list[tuple[str, Column]]:
@@ -64,6 +69,16 @@ class OneHotModel(Model):
         return asdict(self)
 
 
+#: Categories of a column beyond which encoding it in columns, or by a table in the plan, is an error.
+MAX_CATEGORIES = 20_000
+
+
+def sorted_categories(name: str, found: list[int]) -> list[int]:
+    if len(found) > MAX_CATEGORIES:
+        raise InvalidParameter(f"{name} has {len(found)} categories, {MAX_CATEGORIES} are allowed")
+    return sorted(found)
+
+
 def _check_unknown(unknown: str) -> None:
     if unknown not in ("error", "ignore"):
         raise InvalidParameter(f"unknown handling {unknown!r}")
@@ -89,7 +104,7 @@ class OneHotEncoder(Step):
         bad = [c for c in columns if found[f"bad {c}"]]
         if bad:
             raise InvalidParameter(f"not only non-negative integers: {', '.join(bad)}")
-        return OneHotModel(columns, [sorted(found[f"set {c}"]) for c in columns], self.unknown)
+        return OneHotModel(columns, [sorted_categories(c, found[f"set {c}"]) for c in columns], self.unknown)
 
 
 @dataclass
@@ -141,7 +156,7 @@ class OrdinalEncoder(Step):
         bad = [c for c in columns if found[f"bad {c}"]]
         if bad:
             raise InvalidParameter(f"not finite: {', '.join(bad)}")
-        return OrdinalModel(columns, [sorted(found[f"set {c}"]) for c in columns], self.unknown)
+        return OrdinalModel(columns, [sorted_categories(c, found[f"set {c}"]) for c in columns], self.unknown)
 
 
 @dataclass

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mlframe.errors import FeatureMismatch
 from mlframe.functions.exprs import dot, sigmoid, sign
 from mlframe.operators.base import Model
 
@@ -128,6 +129,16 @@ class LinearModel(Model):
         """Adds the prediction; all columns stay."""
         return super().transform(df, list(df.columns) if keep is None else keep)
 
+    def __add__(self, other: LinearModel) -> LinearModel:
+        """Sum of the parameters, of models on the same columns."""
+        if other.input_cols != self.input_cols:
+            raise FeatureMismatch("models on different columns")
+        return LinearModel(list(self.input_cols), [a + b for a, b in zip(self.weights, other.weights, strict=True)], self.bias + other.bias)
+
+    def scale(self, factor: float) -> LinearModel:
+        """The parameters times a number."""
+        return LinearModel(list(self.input_cols), [w * factor for w in self.weights], self.bias * factor)
+
     def probability(self) -> Column:
         return sigmoid(self.score([F.col(c) for c in self.input_cols]))
 

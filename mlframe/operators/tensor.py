@@ -5,13 +5,52 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mlframe.errors import EmptyData, FeatureMismatch, InvalidParameter
 from mlframe.functions.exprs import INF, dot, ieee_div, nan_to_null
 
 
+def zeros_1d(n: int) -> Column:
+    """A vector of zeros in one array column."""
+    return F.array_repeat(F.lit(0.0), n)
+
+
+def zeros_2d(spark: SparkSession, rows: int, columns: int) -> DataFrame:
+    """row_id and columns c0, c1, ... of zeros."""
+    return spark.range(rows).select(F.col("id").alias("row_id"), *[F.lit(0.0).alias(f"c{k}") for k in range(columns)])
+
+
+def from_vec_1d(values: list[float], single: bool = False) -> Column:
+    """A vector in one array column; with ``single`` the numbers go through 32 bits."""
+    numbers = F.array(*[F.lit(float(v)) for v in values]) if values else F.array().cast("array<double>")
+    return numbers.cast("array<float>").cast("array<double>") if single else numbers
+
+
+def from_vec_2d(spark: SparkSession, values: list[float], rows: int, columns: int) -> DataFrame:
+    """row_id and columns c0, c1, ... from numbers in row order."""
+    if len(values) != rows * columns:
+        raise InvalidParameter(f"{len(values)} numbers for {rows} rows of {columns}")
+    schema = ", ".join(["row_id long", *[f"c{k} double" for k in range(columns)]])
+    return spark.createDataFrame([(k, *map(float, values[k * columns : (k + 1) * columns])) for k in range(rows)], schema)
+
+
+def shape(df: DataFrame, columns: list[str]) -> tuple[int, int]:
+    return df.count(), len(columns)
+
+
+def ravel(df: DataFrame, row: str, columns: list[str]) -> DataFrame:
+    """The cells in row order as a vector: index (``row`` counts from 0) and value; no shuffle."""
+    cells = F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("k", "value")
+    return df.select(F.col(row).alias("_row"), cells).select((F.col("_row") * len(columns) + F.col("k")).cast("long").alias("index"), "value")
+
+
+def col_sum(c: str) -> Column:
+    """Sum of a column; 0 without rows."""
+    return F.coalesce(F.sum(c), F.lit(0.0))
+
+
 def sum_all(columns: list[str]) -> Column:
     """Sum of all cells; 0 without rows."""
     return F.coalesce(reduce(add, [F.sum(c) for c in columns]), F.lit(0.0))
