@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mlframe.errors import MlframeError
 from mlframe.functions import exprs as X
 from mlframe.operators import tensor
-from mlframe.operators.compose import ColumnTransformer, Pipeline, PredictivePipeline
+from mlframe.operators.base import Model, Step
+from mlframe.operators.compose import ColumnTransformer, Pipeline, PipelineModel, PredictivePipeline
 from mlframe.operators.encoding import LabelEncoder, OneHotEncoder, OrdinalEncoder
 from mlframe.operators.imputation import SimpleImputer
 from mlframe.operators.linear import L2, SGD, BCEWithLogitsLoss, LinearModel, MAELoss, MSELoss
-from mlframe.operators.metrics import classification_metrics, regression_metrics
+from mlframe.operators.metrics import classification_metrics, regression_metrics, timing_summary
 from mlframe.operators.polynomial import PolynomialFeatures
 from mlframe.operators.scaling import MaxAbsScaler, MinMaxScaler, Normalizer, RobustScaler, StandardScaler, normalize_array
-from mlframe.operators.trainer import Trainer
-from mlframe.sources.dataset import get_batch, split, split3, with_batches, with_row_ids
+from mlframe.operators.trainer import Trainer, search_rates
+from mlframe.sources.dataset import from_rows, get_batch, read_csv, select_features, split, split3, to_rows, with_batches, with_row_ids, write_report
 
 FEATURES = ["l_quantity", "l_discount", "l_tax"]
 KEYS = ["l_orderkey", "l_linenumber"]
@@ -329,8 +334,163 @@ def tensor_queries() -> dict[str, Query]:
     }
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``), or in a local one where that is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{(shared or tempfile.mkdtemp(prefix='mlframe-')).rstrip('/')}/mlframe-{uuid.uuid4().hex}-{name}"
+
+
+def reloaded(spark: SparkSession, model: Model) -> Model:
+    """The model after saving and loading."""
+    path = scratch(spark, "model.json")
+    model.save(path)
+    return Model.load(path)
+
+
+def raises(run: Callable[[], object]) -> bool:
+    try:
+        run()
+    except MlframeError:
+        return True
+    return False
+
+
+def source_queries() -> dict[str, Query]:
+    def csv(s, lines, strict):
+        path = scratch(s, "csv")
+        s.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+        return read_csv(s, path, ["a", "b"], strict)
+
+    def report(s, d):
+        path = scratch(s, "report")
+        write_report(table(s, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n")).select(F.col("c_nationkey").cast("long").alias("nation"), "n"), path)
+        return s.read.schema("nation long, n long").json(path)
+
+    def there_and_back(s, d):
+        rows = table(s, d, "nation").select(F.col("n_nationkey").cast("double").alias("key"), F.col("n_regionkey").cast("double").alias("region"), (F.col("n_nationkey") * 2.0).alias("label"))
+        return from_rows(s, *to_rows(rows, ["key", "region"], "label", "key"), ["key", "region"])
+
+    return {
+        "source_rows": Query(lambda s, d: from_rows(s, [[1, 2], [3, 4], [5, 6]], [7, 8, 9]), "SELECT * FROM (VALUES (0, 1.0, 2.0, 7.0), (1, 3.0, 4.0, 8.0), (2, 5.0, 6.0, 9.0)) v(row_id, f0, f1, label)"),
+        "source_csv_lenient": Query(lambda s, d: csv(s, ["a,b", "1,2", "x,3.5", ",4"], False), "SELECT * FROM (VALUES (1.0, 2.0), (0.0, 3.5), (0.0, 4.0)) v(a, b)"),
+        "source_csv_strict": Query(lambda s, d: csv(s, ["a,b", "1,2", "3", "4,5,6", "7,8.5"], True), "SELECT * FROM (VALUES (1.0, 2.0), (7.0, 8.5)) v(a, b)"),
+        "source_len": Query(lambda s, d: one_row(s, {"n": (o := table(s, d, "orders")).count(), "empty": o.isEmpty(), "none": o.limit(0).isEmpty()}), "SELECT CAST(count(*) AS INTEGER) AS n, count(*) = 0 AS empty, true AS none FROM orders"),
+        "select_features": Query(lambda s, d: select_features(line(s, d).select(*FEATURES, *KEYS), [2, 0, 99], KEYS), "SELECT CAST(l_tax AS DOUBLE) AS l_tax, CAST(l_quantity AS DOUBLE) AS l_quantity, 0.0 AS \"Unknown\", l_orderkey, l_linenumber FROM lineitem"),
+        "to_rows": Query(there_and_back, "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS row_id, CAST(n_nationkey AS DOUBLE) AS key, CAST(n_regionkey AS DOUBLE) AS region, n_nationkey * 2.0 AS label FROM nation"),
+        "json_report": Query(report, "SELECT CAST(c_nationkey AS BIGINT) AS nation, count(*) AS n FROM customer GROUP BY 1"),
+    }
+
+
+def saved_queries() -> dict[str, Query]:
+    """Every kind of fitted object after saving and loading, against the SQL of the object itself."""
+    composed, scaled, encoded, poly = compose_queries(), scaler_queries(), encoder_queries(), polynomial_queries()
+    steps = lambda: Pipeline([("impute", SimpleImputer("mean")), ("scale", StandardScaler())])
+    numbered = lambda s, d: holes(s, d).withColumn("key", F.col("l_linenumber")).withColumn("l_linenumber", F.col("l_linenumber").cast("double"))
+    sizes = lambda s, d: table(s, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"))
+
+    def predictive(s, d):
+        rows = numbered(s, d)
+        pre = ColumnTransformer([("num", FEATURES, steps())]).fit(rows)
+        terms = PolynomialFeatures(2, False, True).model(pre.output_cols, {})
+        whole = PredictivePipeline(pre, LinearModel(terms.output_cols, [1.0, -2.0, 0.5, 0.25, 0.0, 3.0], 7.0), terms)
+        return rounded(reloaded(s, whole).transform(rows, KEYS[:1] + ["key"]))
+
+    mixed = lambda: ColumnTransformer([("num", FEATURES, steps()), ("cat", ["l_linenumber"], OneHotEncoder())])
+    linear = LinearModel(["x0", "x1"], [3.5, -0.25], 0.125)
+    out = {
+        f"saved_{name}_scaler": Query(lambda s, d, make=make: rounded(reloaded(s, make().fit(line(s, d), FEATURES)).transform(line(s, d), KEYS)), scaled[f"{name}_scaler_transform"].sql) for name, (make, *_) in SCALERS.items()
+    }
+    return out | {
+        "saved_imputer": Query(lambda s, d: rounded(reloaded(s, SimpleImputer("mean").fit(holes(s, d), FEATURES)).transform(holes(s, d), KEYS)), imputer_queries()["impute_mean"].sql),
+        "saved_normalizer": Query(lambda s, d: rounded(reloaded(s, Normalizer("l2").fit(line(s, d), FEATURES)).transform(line(s, d), KEYS)), scaled["normalizer_l2"].sql),
+        "saved_onehot": Query(lambda s, d: reloaded(s, OneHotEncoder().fit(sizes(s, d), ["p_size"])).transform(sizes(s, d)), encoded["onehot_transform"].sql),
+        "saved_ordinal": Query(lambda s, d: reloaded(s, OrdinalEncoder().fit(sizes(s, d), ["p_size"])).transform(sizes(s, d)), encoded["ordinal_transform"].sql),
+        "saved_polynomial": Query(lambda s, d: rounded((t := reloaded(s, PolynomialFeatures(2, False).fit(line(s, d), FEATURES)).transform(line(s, d), KEYS)).toDF(*KEYS, *[f"p{k}" for k in range(len(t.columns) - 2)])), poly["poly_deg2"].sql),
+        "saved_pipeline": Query(lambda s, d: rounded(reloaded(s, steps().fit(holes(s, d), FEATURES)).transform(holes(s, d), KEYS)), composed["pipeline_impute_scale"].sql),
+        "pipeline_from_params": Query(lambda s, d: rounded(PipelineModel.from_dict(json.loads(json.dumps(steps().fit(holes(s, d), FEATURES).to_dict()))).transform(holes(s, d), KEYS)), composed["pipeline_impute_scale"].sql),
+        "saved_column_transformer": Query(lambda s, d: rounded(reloaded(s, mixed().fit(numbered(s, d))).transform(numbered(s, d), ["l_orderkey", "key"])), composed["column_transformer_mixed"].sql),
+        "saved_predictive_pipeline": Query(predictive, composed["predictive_pipeline"].sql),
+        "saved_linear": Query(lambda s, d: rounded(reloaded(s, linear).transform(train_rows(s, d), KEYS)), training_queries()["predict_linear"].sql),
+        "saved_bits": Query(lambda s, d: one_row(s, {"third": reloaded(s, LinearModel(["a"], [1 / 3], 0.1)).weights[0]}), "SELECT CAST(1 AS DOUBLE) / 3 AS third"),
+    }
+
+
+def contract_queries() -> dict[str, Query]:
+    """What fitted objects say of themselves, and what they refuse."""
+    def refused(s, d):
+        rows = line(s, d)
+        made = {
+            "imputer": SimpleImputer().fit(rows, FEATURES), "normalizer": Normalizer().fit(rows, FEATURES), "polynomial": PolynomialFeatures(2).fit(rows, FEATURES),
+            "column_transformer": ColumnTransformer([("a", FEATURES, StandardScaler())]).fit(rows), "standard": StandardScaler().fit(rows, FEATURES),
+        }
+        return s.createDataFrame([(name, raises(lambda m=m: m.inverse_transform(m.transform(rows)))) for name, m in made.items()], "step string, refused boolean")
+
+    def described(s, d):
+        rows = line(s, d).withColumn("number", F.col("l_linenumber").cast("double"))
+        pipe = Pipeline([("fill", SimpleImputer()), ("scale", StandardScaler())])
+        whole = ColumnTransformer([("num", FEATURES, pipe), ("cat", ["number"], Pipeline([("hot", OneHotEncoder())]))]).fit(rows)
+        inner, hot = whole.parts[0][1], whole.parts[1][1].steps[0]
+        return one_row(s, {"parts": len(whole), "part_names": ",".join(whole.step_names), "steps": len(inner), "step_names": ",".join(inner.step_names), "is_empty": inner.is_empty or whole.is_empty, "n_in": whole.n_features_in, "n_out": whole.n_features_out, "n_values": hot.n_values[0], "categories": ",".join(map(str, hot.categories[0])), "label_is_step": issubclass(LabelEncoder, Step)})
+
+    only = "WITH s AS (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS v FROM lineitem) SELECT l_orderkey, l_linenumber, round({}, 6) + 0.0 AS l_quantity FROM lineitem, s"
+    arithmetic = lambda s, d: (m := (LinearModel(["a", "b"], [1.0, 2.0], 3.0) + LinearModel(["a", "b"], [0.5, 0.5], 1.0)).scale(2.0)) and one_row(s, {"w0": m.weights[0], "w1": m.weights[1], "bias": m.bias})
+    return {
+        "no_inverse": Query(refused, "SELECT * FROM (VALUES ('imputer', true), ('normalizer', true), ('polynomial', true), ('column_transformer', true), ('standard', false)) v(step, refused)"),
+        "introspection": Query(described, "SELECT 2 AS parts, 'num,cat' AS part_names, 2 AS steps, 'fill,scale' AS step_names, false AS is_empty, 4 AS n_in, CAST(3 + count(DISTINCT l_linenumber) AS INTEGER) AS n_out, CAST(count(DISTINCT l_linenumber) AS INTEGER) AS n_values, (SELECT string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) FROM (SELECT DISTINCT l_linenumber AS n FROM lineitem)) AS categories, false AS label_is_step FROM lineitem"),
+        "poly_degree0": Query(lambda s, d: PolynomialFeatures(0, True).fit_transform(line(s, d), FEATURES, KEYS).toDF(*KEYS, "p0"), "SELECT l_orderkey, l_linenumber, 1.0 AS p0 FROM lineitem"),
+        "poly_degree0_no_bias": Query(lambda s, d: PolynomialFeatures(0, False).fit_transform(line(s, d), FEATURES, KEYS), "SELECT l_orderkey, l_linenumber FROM lineitem"),
+        "standard_mean_only": Query(lambda s, d: rounded(StandardScaler(with_std=False).fit_transform(line(s, d), ["l_quantity"], KEYS)), only.format("l_quantity - m")),
+        "standard_std_only": Query(lambda s, d: rounded(StandardScaler(with_mean=False).fit_transform(line(s, d), ["l_quantity"], KEYS)), only.format("l_quantity / v")),
+        "linear_params": Query(arithmetic, "SELECT 3.0 AS w0, 5.0 AS w1, 8.0 AS bias"),
+    }
+
+
+def history_queries() -> dict[str, Query]:
+    def history(s, d):
+        _, losses = Trainer(MSELoss(), SGD(0.3), L2(0.05), batch_size=None, epochs=5).fit_history(train_rows(s, d), ["x0", "x1"], "y")
+        n = train_rows(s, d).count()
+        return rounded(s.createDataFrame([(h["epoch"], h["loss"], h["reported"] * n) for h in losses], "epoch long, loss double, reported_times_n double"))
+
+    def batches(s, d):
+        _, losses = Trainer(MAELoss(), SGD(0.1), batch_size=512, epochs=1).fit_history(order_rows(s, d).where("o_orderkey <= 2000"), ["x0"], "y", "o_orderkey")
+        _, same = Trainer(MSELoss(), SGD(0.0), batch_size=512, epochs=2).fit_history(order_rows(s, d), ["x0"], "y", "o_orderkey")
+        return rounded(one_row(s, {"epochs": len(losses), "mean_square": same[0]["loss"], "again": same[1]["loss"]}))
+
+    def searched(s, d):
+        found = search_rates(Trainer(MSELoss(), SGD(0), batch_size=None, epochs=20), train_rows(s, d), ["x0", "x1"], "y", "l_orderkey", [0.1, 0.3])
+        return rounded(found.select("rate", F.col("theta")[0].alias("w0"), F.col("theta")[1].alias("w1"), F.col("theta")[2].alias("bias")))
+
+    slope = "w0 * x0 + w1 * x1 + b - y"
+    rates = " UNION ALL ".join(f"SELECT {rate}::DOUBLE AS rate, * FROM ({descent_sql(slope, 20, rate)})" for rate in (0.1, 0.3))
+    steps = descent_sql(slope, 4, 0.3, 0.05).partition(") SELECT")[0]
+    flat = lambda s, d, guard: rounded(table(s, d, "nation").select(F.lit(2.0).alias("label"), F.col("n_regionkey").cast("double").alias("p")).agg(*regression_metrics(F.col("label"), F.col("p"), guard)).withColumn("r2", F.greatest(F.col("r2"), F.lit(-1e9))))
+    times = "SELECT list_sort(list(CAST(value AS DOUBLE))) AS v FROM events"
+    member = lambda q: f"v[CAST(least(floor(len(v) * {q}) + 1, len(v)) AS BIGINT)]"
+    return {
+        "training_history": Query(history, f"{steps}) SELECT CAST(e + 1 AS BIGINT) AS epoch, {r('avg((w0 * x0 + w1 * x1 + b - y) ** 2)', 'loss')}, {r('avg((w0 * x0 + w1 * x1 + b - y) ** 2) + 0.05 * (any_value(w0) ** 2 + any_value(w1) ** 2)', 'reported_times_n')} FROM g, t GROUP BY e"),
+        "training_history_batches": Query(batches, f"WITH o AS (SELECT CAST(o_totalprice AS DOUBLE) / 100000 AS y FROM orders) SELECT 1 AS epochs, {r('avg(y * y)', 'mean_square')}, {r('avg(y * y)', 'again')} FROM o"),
+        "search_rates": Query(searched, rates),
+        "metrics_unguarded": Query(lambda s, d: flat(s, d, False), "SELECT round(avg((n_regionkey - 2) ** 2), 6) AS mse, round(sqrt(avg((n_regionkey - 2) ** 2)), 6) AS rmse, round(avg(abs(n_regionkey - 2)), 6) AS mae, -1e9::DOUBLE AS r2 FROM nation"),
+        "metrics_guarded": Query(lambda s, d: flat(s, d, True), "SELECT round(avg((n_regionkey - 2) ** 2), 6) AS mse, round(sqrt(avg((n_regionkey - 2) ** 2)), 6) AS rmse, round(avg(abs(n_regionkey - 2)), 6) AS mae, 0.0 AS r2 FROM nation"),
+        "timing_summary": Query(lambda s, d: rounded(timing_summary(table(s, d, "events").select(F.col("value").cast("double").alias("value")), "value")), f"SELECT {r('list_avg(v)', 'mean')}, {r('list_stddev_pop(v)', 'std')}, {r('v[1]', 'min')}, {r('v[-1]', 'max')}, {r(member(0.5), 'median')}, {r(member(0.95), 'p95')}, {r(member(0.99), 'p99')} FROM ({times})"),
+    }
+
+
+def vector_queries() -> dict[str, Query]:
+    cells = lambda s, d: table(s, d, "nation").select("n_nationkey", F.col("n_regionkey").cast("double").alias("a"), (F.col("n_nationkey") * 0.5).alias("b"))
+    return {
+        "tensor_zeros": Query(lambda s, d: tensor.zeros_2d(s, 4, 2).withColumn("width", F.size(tensor.zeros_1d(7))).withColumn("total", X.array_sum(tensor.zeros_1d(7))), "SELECT range AS row_id, 0.0 AS c0, 0.0 AS c1, 7 AS width, 0.0 AS total FROM range(4)"),
+        "tensor_from_vec": Query(lambda s, d: tensor.from_vec_2d(s, [1, 2, 3, 4, 5, 6], 3, 2).withColumn("third", F.element_at(tensor.from_vec_1d([0.5, 0.25, 1 / 3]), 3)).withColumn("single", F.element_at(tensor.from_vec_1d([1 / 3], single=True), 1)), "SELECT * FROM (VALUES (0, 1.0, 2.0), (1, 3.0, 4.0), (2, 5.0, 6.0)) v(row_id, c0, c1), (SELECT CAST(1 AS DOUBLE) / 3 AS third, CAST(CAST(CAST(1 AS DOUBLE) / 3 AS FLOAT) AS DOUBLE) AS single)"),
+        "tensor_scalar": Query(lambda s, d: rounded(table(s, d, "region").select("r_regionkey", *[c.alias(k) for k, c in {"added": F.lit(2.5) + 0.5, "taken": F.lit(2.5) - 0.5, "times": F.lit(2.5) * 4, "over": X.ieee_div(F.lit(2.5), F.lit(2.0)), "root": F.sqrt(F.lit(6.25)), "absolute": F.abs(F.lit(-2.5)), "power": F.exp(F.lit(0.0))}.items()])), "SELECT r_regionkey, 3.0 AS added, 2.0 AS taken, 10.0 AS times, 1.25 AS over, 2.5 AS root, 2.5 AS absolute, 1.0 AS power FROM region"),
+        "tensor_col_sum": Query(lambda s, d: rounded(line(s, d).agg(*[tensor.col_sum(c).alias(c) for c in FEATURES]), 3), f"SELECT {', '.join(r(f'sum(CAST({c} AS DOUBLE))', c, 3) for c in FEATURES)} FROM lineitem"),
+        "tensor_ravel": Query(lambda s, d: tensor.ravel(cells(s, d), "n_nationkey", ["a", "b"]), "SELECT CAST(n_nationkey * 2 AS BIGINT) AS index, CAST(n_regionkey AS DOUBLE) AS value FROM nation UNION ALL SELECT CAST(n_nationkey * 2 + 1 AS BIGINT), n_nationkey * 0.5 FROM nation"),
+        "tensor_shape": Query(lambda s, d: one_row(s, dict(zip(("rows", "columns"), tensor.shape(cells(s, d), ["a", "b"]), strict=True))), "SELECT CAST(count(*) AS INTEGER) AS rows, 2 AS columns FROM nation"),
+    }
+
+
 def catalogue() -> dict[str, Query]:
-    return scaler_queries() | imputer_queries() | encoder_queries() | polynomial_queries() | compose_queries() | training_queries() | dataset_queries() | tensor_queries()
+    parts = (scaler_queries, imputer_queries, encoder_queries, polynomial_queries, compose_queries, training_queries, dataset_queries, tensor_queries, source_queries, saved_queries, contract_queries, history_queries, vector_queries)
+    return {name: query for part in parts for name, query in part().items()}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

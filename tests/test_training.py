@@ -147,3 +147,77 @@ def test_tensor_errors(spark):
 def test_model_on_other_columns(spark):
     with pytest.raises(FeatureMismatch):
         LinearModel(["nope"], [1.0], 0.0).transform(spark.range(1))
+
+
+def test_quantiles_against_sorting(spark, monkeypatch):
+    from mlframe.plans import selection
+    from mlframe.plans.selection import MostFrequent, Quantiles, most_frequent, quantiles
+
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(selection, "PARTS", 16)  # several rounds on small data
+    columns = {
+        "even": rng.random(3000), "steep": np.exp(30 * rng.random(3000)), "few": rng.integers(0, 3, 3000).astype(float), "same": np.full(3000, 7.0),
+        "wide": np.concatenate([[-1.7e308, 1.7e308, np.inf, -np.inf, np.inf], rng.normal(size=2995)]), "holes": np.where(rng.random(3000) < 0.3, np.nan, rng.normal(size=3000)),
+    }
+    names = list(columns)
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in zip(*columns.values(), strict=True)], ", ".join(f"{n} double" for n in names))
+    shares = [0.0, 0.01, 0.25, 0.5, 0.7501, 0.99, 1.0]
+    got = quantiles(df, [Quantiles(F.col(n), shares) for n in names])
+    for n, found in zip(names, got, strict=True):
+        v = np.sort(columns[n][~np.isnan(columns[n])])
+        for share, x in zip(shares, found, strict=True):
+            at = share * (len(v) - 1)
+            a, b, part = v[int(np.floor(at))], v[int(np.ceil(at))], at - np.floor(at)
+            assert x == (a if a == b else pytest.approx((1 - part) * a + part * b, rel=1e-12))
+    members = quantiles(df, [Quantiles(F.col("even"), [0.5, 0.99, 1.0], member=True)])[0]
+    v = np.sort(columns["even"])
+    assert members == [v[1500], v[2970], v[2999]]
+    assert quantiles(df.limit(0), [Quantiles(F.col("even"), [0.5])]) == [None] and most_frequent(df.limit(0), [MostFrequent(F.col("even"))]) == [None]
+    counts = np.bincount(columns["few"].astype(int))
+    assert most_frequent(df, [MostFrequent(F.col("same")), MostFrequent(F.col("few")), MostFrequent(F.lit(None).cast("double"))]) == [7.0, float(counts.argmax()), None]
+
+
+def test_folding_equals_steps_one_by_one(spark, monkeypatch):
+    from mlframe.operators import trainer
+
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(157, 2)), rng.normal(size=157)
+    df = from_rows(spark, x.tolist(), y.tolist())
+    monkeypatch.setattr(trainer, "FOLD_BYTES", 24 * 16 * 3)  # three maps at a time, so several levels
+    for ridge in (NoRegularizer(), L2(0.02)):
+        model, history = Trainer(MSELoss(), SGD(0.05), ridge, batch_size=4, epochs=3).fit_history(df, ["f0", "f1"], "label", "row_id")
+        theta, losses = np.zeros(3), []
+        for _ in range(3):
+            own = said = 0.0
+            for at in range(0, 157, 4):
+                a, b = np.column_stack([x[at : at + 4], np.ones(len(x[at : at + 4]))]), y[at : at + 4]
+                error = a @ theta - b
+                own += (error**2).sum()
+                said += (error**2).mean() + ridge.penalty(theta)
+                theta = theta - 0.05 * (a.T @ error / len(b) + 2 * ridge.strength * np.append(theta[:2], 0))
+            losses.append((own / 157, said / 157))
+        assert [*model.weights, model.bias] == pytest.approx(theta.tolist())
+        assert [(h["loss"], h["reported"]) for h in history] == [pytest.approx(v) for v in losses]
+    one = Trainer(MAELoss(), SGD(0.05), batch_size=4, epochs=2, verbose=True)
+    assert len(one.fit_history(df, ["f0", "f1"], "label", "row_id")[1]) == 2
+    with pytest.raises(InvalidParameter):
+        Trainer(MAELoss(), SGD(0.05), batch_size=4, epochs=2, max_sequential_rows=100).fit(df, ["f0", "f1"], "label", "row_id")
+
+
+def test_row_ids_with_many_ranges_and_bad_keys(spark):
+    df = spark.range(5000).select((F.pow(F.col("id"), 2) - 1e6).alias("k"), F.col("id")).repartition(7)
+    for ranges in (1, 3, 700):
+        assert with_row_ids(df, "k", ranges=ranges).where("id <> row_id").count() == 0
+    for bad in (df.withColumn("k", F.when(F.col("id") != 9, F.col("k"))), df.withColumn("k", F.floor(F.col("k") / 1e5))):
+        with pytest.raises(Exception, match="key in k"):
+            with_row_ids(bad, "k").count()
+            with_row_ids(bad, "k").agg(F.sum("row_id")).collect()
+    assert with_row_ids(df.limit(0), "k").count() == 0
+
+
+def test_too_many_categories(spark, monkeypatch):
+    from mlframe.operators import encoding
+
+    monkeypatch.setattr(encoding, "MAX_CATEGORIES", 3)
+    with pytest.raises(InvalidParameter):
+        encoding.OneHotEncoder().fit(spark.range(9).select(F.col("id").cast("double").alias("a")), ["a"])
