@@ -154,7 +154,7 @@ def fit_forest(findings: DataFrame, trees: int = 20, depth: int = 6, seed: int =
         return Forest([0.0], [0.0] * len(SYMBOLS) ** 2, dictionary)
     if total > max_findings:
         findings = findings.where(F.pmod(F.xxhash64("match", "before", "after"), F.lit(1 << 20)) < int((1 << 20) * max_findings / total))
-    words = findings.sparkSession.createDataFrame([(w,) for w in dictionary], "value string")
+    words = findings.sparkSession.range(1).select(F.explode(F.array(*[F.lit(w) for w in dictionary])).alias("value"))
     transitions = learn_transitions(findings.where("label = 0").select(F.regexp_replace("match", HEAD, "").alias("value")).unionAll(words))
     rows = findings.select(features(F.col("match"), F.col("before"), F.col("after"), transitions, dictionary).alias("f"), F.col("label").cast("double").alias("label")).select("f.*", "label")
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="6").fit(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows))
