@@ -157,14 +157,15 @@ class Trainer:
         return now[:-1], losses
 
     def _by_epochs(self, df: DataFrame, features: list[str], label: str, theta: np.ndarray) -> tuple[np.ndarray, list]:
-        """One aggregation an epoch over cached rows. The parameters enter as one array, which generated code refers to, so all epochs run the same compiled code."""
+        """One aggregation an epoch over cached rows. Adaptive execution is off meanwhile: a result of one row has nothing to adapt, and without it an epoch takes half the time."""
+        session, adaptive = df.sparkSession, "spark.sql.adaptive.enabled"
+        before = session.conf.get(adaptive)
         rows = df.select(*[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(features)], F.col(label).cast("double").alias("y")).persist()
         x, losses = [F.col(f"x{k}") for k in range(len(features))], []
         try:
+            session.conf.set(adaptive, "false")
             for _ in range(self.epochs):
-                now = F.array(*[F.lit(float(t)) for t in theta])
-                score = sum((c * now[k] for k, c in enumerate(x)), now[len(x)])
-                scored = rows.select(*x, "y", score.alias("p")).select(*x, self.loss.slope(F.col("p"), F.col("y")).alias("s"), self.loss.value(F.col("p"), F.col("y")).alias("l"))
+                scored = rows.select(*x, "y", LinearModel([], theta[:-1].tolist(), float(theta[-1])).score(x).alias("p")).select(*x, self.loss.slope(F.col("p"), F.col("y")).alias("s"), self.loss.value(F.col("p"), F.col("y")).alias("l"))
                 found = scored.agg(F.count(F.lit(1)), F.avg("l"), *[F.avg(F.col("s") * c) for c in x], F.avg("s")).first()
                 if not found[0]:
                     raise EmptyData("no rows to fit on")
@@ -173,6 +174,7 @@ class Trainer:
                 gradient[:-1] += 2.0 * self.regularizer.strength * theta[:-1]
                 theta = self.optimizer.step(theta, gradient)
         finally:
+            session.conf.set(adaptive, before)
             rows.unpersist()
         return theta, losses
 
