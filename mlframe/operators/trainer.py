@@ -109,23 +109,23 @@ class Trainer:
             said[:, range(d - 1), range(d - 1)] += strength
             return maps, np.stack([mean * n[:, None, None], said], axis=1)
 
-        def as_rows(chunk: list[int], made: list[tuple[np.ndarray, np.ndarray]], n: list[int]) -> pa.Table:
-            flat = [np.concatenate([m.ravel(), q.ravel()]).tolist() for m, q in made]
-            return pa.table({"chunk": pa.array(chunk, pa.int64()), "map": pa.array(flat, pa.list_(pa.float64())), "n": pa.array(n, pa.int64())})
+        def as_row(chunk: int, made: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+            flat = np.concatenate([made[0].ravel(), made[1].ravel()]).tolist()
+            return pa.table({"chunk": pa.array([chunk], pa.int64()), "map": pa.array([flat], pa.list_(pa.float64()))})
 
         def read_rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
             flat = np.array(table["map"].to_pylist()).reshape(table.num_rows, 3, d + 1, d + 1)
             return flat[:, 0], flat[:, 1:]
 
+        def made_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            table = table.sort_by("batch_id")
+            return fold(*maps_of(np.column_stack([table[c].to_numpy() for c in names]), table["n"].to_numpy()))
+
         def first_level(group: pa.Table) -> pa.Table:
-            group = group.sort_by("batch_id")
-            n = group["n"].to_numpy()
-            made = fold(*maps_of(np.column_stack([group[c].to_numpy() for c in names]), n))
-            return as_rows([group["batch_id"][0].as_py() // size], [made], [int(n.sum())])
+            return as_row(group["batch_id"][0].as_py() // size, made_of(group))
 
         def next_level(group: pa.Table) -> pa.Table:
-            group = group.sort_by("chunk")
-            return as_rows([group["chunk"][0].as_py() // size], [fold(*read_rows(group))], [int(group["n"].to_numpy().sum())])
+            return as_row(group["chunk"][0].as_py() // size, fold(*read_rows(group.sort_by("chunk"))))
 
         if self.batch_size is None:
             row = df.agg(*moments).first()
@@ -135,19 +135,21 @@ class Trainer:
             whole, total = fold(*made), row["n"]
         else:
             let_workers_import(df.sparkSession)
-            schema = "chunk long, map array<double>, n long"
+            schema = "chunk long, map array<double>"
             batches = with_batches(df, order_by, self.batch_size).groupBy("batch_id").agg(*moments)
             total = df.count()
             if not total:
                 raise EmptyData("no rows to fit on")
-            level = batches.withColumn("g", F.floor(F.col("batch_id") / size)).groupBy("g").applyInArrow(first_level, schema)
-            groups = -(-total // (self.batch_size * size))
-            while groups > size:
-                level = level.withColumn("g", F.floor(F.col("chunk") / size)).groupBy("g").applyInArrow(next_level, schema)
+            groups = -(-total // self.batch_size)
+            if groups <= size:  # few enough for the driver as they are
+                whole = made_of(batches.toArrow())
+            else:
+                level = batches.withColumn("g", F.floor(F.col("batch_id") / size)).groupBy("g").applyInArrow(first_level, schema)
                 groups = -(-groups // size)
-            rows = level.toArrow()
-            rows = rows.sort_by("chunk")
-            whole = fold(*read_rows(rows))
+                while groups > size:
+                    level = level.withColumn("g", F.floor(F.col("chunk") / size)).groupBy("g").applyInArrow(next_level, schema)
+                    groups = -(-groups // size)
+                whole = fold(*read_rows(level.toArrow().sort_by("chunk")))
         step, form = whole
         now, losses = np.append(theta, 1.0), []
         with np.errstate(all="ignore"):
