@@ -285,12 +285,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 hashes, page = hashes[mine], page[mine]
                 host = batch.column(0).dictionary_encode()
                 names, host = host.dictionary.to_pylist(), host.indices.to_numpy()[page]
-                part = mix64(hashes) % batch.column(1).to_numpy().astype(np.uint64)[page]
-                order = np.lexsort((hashes, page, part, host))
+                parts = batch.column(1).to_numpy().astype(np.uint64)[page]
+                part = mix64(hashes) % parts
+                cell = host * int(parts.max(initial=1)) + part.astype(np.int64)
+                order = np.argsort(cell.astype(np.uint16) if cell.max(initial=0) < 1 << 16 else cell, kind="stable")  # pages stay in order
                 hashes, page, part, host = hashes[order], page[order], part[order], host[order]
-                new = np.ones(len(hashes), bool)  # a window twice on a page counts once
-                new[1:] = (hashes[1:] != hashes[:-1]) | (page[1:] != page[:-1])
-                hashes, page, part, host = hashes[new], page[new], part[new], host[new]
                 edges = np.append(np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (host[1:] != host[:-1]))), len(hashes)).tolist() if len(hashes) else [0]
                 rows = []
                 for a, b in zip(edges[:-1], edges[1:], strict=True):
