@@ -358,6 +358,16 @@ def test_blocks_against_a_slow_reader():
         assert [t for t, m in zip(texts, marks, strict=True) if m == "c"] == slow_blocks(page), page
 
 
+def test_html_query_against_a_slow_reader(spark):
+    d = "/root/testdata/sf0.001"
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{d}/pages.parquet").collect()}
+    got = html_text.op10_html_text(spark, d).collect()
+    assert len(got) == len(pages) > 0
+    for r in got:
+        inside = re.search("(?s)<article>.*</article>", pages[r["page_id"]])[0]
+        assert r["text"] == "\n\n".join(slow_blocks(inside)) and r["n_chars"] == len(r["text"])
+
+
 def test_repeats_against_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(100):

@@ -121,6 +121,59 @@ def test_language_held_out(spark):
     assert found.agg(F.avg(F.col("rejected").cast("double"))).first()[0] <= 0.02
 
 
+def test_language_query_against_the_definition(spark):
+    # Every document of a table, judged by models made from dictionaries.
+    d = "/root/testdata/sf0.001"
+    got = {r["doc_id"]: r for r in language_id.op1_language_id(spark, d).collect()}
+    draw = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    docs = spark.read.parquet(f"{d}/documents.parquet").withColumn("apart", F.pmod(F.shiftright(draw, 32), F.lit(1 << 20)) < (1 << 20) * 400 // 3400).withColumn("out", language_id.held_out()).collect()
+    line_of = lambda text: re.sub(r" +", " ", "".join(c if c.isalpha() else " " for c in text.lower())).lstrip(" ")
+    langs = sorted({r["lang"] for r in docs if r["lang"] and r["text"] and not r["out"]})
+    models, symbols = {}, set()
+    for lang in langs:
+        counts = [Counter() for _ in range(4)]
+        for r in docs:
+            if r["lang"] == lang and r["text"] and not r["out"] and not r["apart"]:
+                line = "\x01" * 3 + line_of(r["text"])
+                counts[3].update(line[k - 3 : k + 1] for k in range(3, len(line)))
+        for n in (3, 2, 1):
+            counts[n - 1].update(g[1:] for g in counts[n])
+        symbols |= set(counts[0])
+        context, cut = [], []
+        for table in counts:
+            of = {}
+            for g, v in table.items():
+                total, kinds = of.get(g[:-1], (0, 0))
+                of[g[:-1]] = (total + v, kinds + 1)
+            context.append(of)
+            ones, twos = sum(v == 1 for v in table.values()), sum(v == 2 for v in table.values())
+            cut.append(min(max(ones / max(ones + 2 * twos, 1) if ones + twos else 0.5, 0.1), 0.95))
+        models[lang] = (counts, context, cut)
+
+    def entropy(line, lang):
+        counts, context, cut = models[lang]
+        bits = 0.0
+        for k in range(3, len(line)):
+            p = 1 / (len(symbols) + 1)
+            for n in range(4):
+                total, kinds = context[n].get(line[k - n : k], (0, 0))
+                if total:
+                    p = max(counts[n].get(line[k - n : k + 1], 0) - cut[n], 0) / total + cut[n] * kinds / total * p
+            bits -= np.log(p)
+        return bits / (len(line) - 3)
+
+    assert len(got) == len(docs)
+    for r in docs:
+        line = line_of(r["text"] or "")
+        if not line.strip():
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        scores = {lang: entropy("\x01" * 3 + line, lang) for lang in langs}
+        best = min(langs, key=scores.get)
+        assert got[r["doc_id"]]["lang_pred"] == best and got[r["doc_id"]]["cross_entropy"] == pytest.approx(scores[best], abs=1e-4)
+        assert got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
 # Licences
 
 
@@ -148,6 +201,35 @@ def test_licenses_against_brute_force(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_license_query_against_brute_force(spark):
+    # Labels and score by looking for every phrase at every word; expressions by hand are tested below.
+    d = "/root/testdata/sf0.001"
+    phrases = [("base", p, label, licenses.BASE_WEIGHT[label]) for p, label in licenses.BASE.items()] + [("notice", p, *what) for p, what in licenses.NOTICES.items()]
+    planted = ["Licensed under the Apache License, Version 2.0 (the x)", "GNU Lesser General Public License v3 all rights reserved", "CC BY-NC-SA 4.0; cc0", "SPDX-License-Identifier: MIT OR (GPL-2.0-only WITH Classpath-exception-2.0)", "mit license mit license"]
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").unionAll(spark.createDataFrame([(10**6 + k, t) for k, t in enumerate(planted)], "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    marked = 0
+    for r in docs.collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or ""))
+        has = {(kind, label): weight for kind, p, label, weight in phrases for w in [p.split()] if any(words[k : k + len(w)] == w for k in range(len(words) - len(w) + 1))}
+        weights = {}
+        for kind, p, label, weight in phrases:
+            w = p.split()
+            places = [k for k in range(len(words) - len(w) + 1) if words[k : k + len(w)] == w]
+            if places:
+                at = places[0] + len(w)  # of several phrases of one label the one that ends first counts
+                weights[kind, label] = min(weights.get((kind, label), (10**9, 0)), (at, -weight))
+        if "spdx license identifier" in " ".join(words):
+            continue
+        found = got[r["doc_id"]]
+        assert found["labels"] == ",".join(sorted({label for _, label in has}))
+        assert found["base_labels"] == ",".join(sorted({label for kind, label in has if kind == "base"}))
+        marked += bool(has)
+        miss = np.prod([1 + weight for _, weight in weights.values()]) if weights else 1.0
+        assert found["score"] == pytest.approx(1 - miss)
+    assert marked >= 4 and got[10**6 + 3]["labels"] == "gpl-2.0-only,mit" and got[10**6 + 3]["verdict"] == "permissive"
+
+
 @pytest.mark.parametrize(
     "text,postfix,verdict",
     [
@@ -345,6 +427,62 @@ def test_secret_candidates_against_brute_force(spark, forest):
     assert "Python" not in plan and "Exchange" not in plan and "Arrow" not in plan
 
 
+def candidates_by_hand(text):
+    # Candidate values without regular expressions over the whole text: assigned values first, then bare runs.
+    run = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+    keywords = ["password", "passwd", "passphrase", "pwd", "secret", "token", "credential"] + [f"{a}{sep}key" for a in ("api", "access", "private", "auth") for sep in ("", "_", "-")]
+    out, at = [], 0
+    while at < len(text):
+        value = None
+        for word in keywords:
+            if text[at : at + len(word)].lower() == word:
+                k = at + len(word)
+                k += text[k : k + 1] in ('"', "'") and text[k : k + 1] != ""
+                spaces = 0
+                while spaces < 3 and k < len(text) and text[k] in " \t\n\x0b\f\r":
+                    k, spaces = k + 1, spaces + 1
+                if k < len(text) and text[k] in ":=":
+                    k, spaces = k + 1, 0
+                    while spaces < 3 and k < len(text) and text[k] in " \t\n\x0b\f\r":
+                        k, spaces = k + 1, spaces + 1
+                    k += text[k : k + 1] in ('"', "'") and text[k : k + 1] != ""
+                    end = k
+                    while end < len(text) and text[end] not in " \t\n\x0b\f\r\"',;":
+                        end += 1
+                    if end - k >= 6:
+                        value = (k, end, end)
+                        break
+        if value is None and text[at] in run and (at == 0 or text[at - 1] not in run):
+            end = at
+            while end < len(text) and text[end] in run:
+                end += 1
+            if end - at >= 16 and any(c.isdigit() for c in text[at:end]):
+                stop = end
+                while stop < len(text) and stop - end < 2 and text[stop] == "=":
+                    stop += 1
+                value = (at, stop, stop)
+        if value:
+            out.append(text[value[0] : value[1]])
+            at = value[2]
+        else:
+            at += 1
+    return out
+
+
+def test_secret_query_against_a_reader_by_hand(spark, forest):
+    d = "/root/testdata/sf0.001"
+    planted = ['api-key: "aB3dE6gH9jK2" and PASSWORD = hunter2hunter2; x', "id 0123456789abcdef0123456789abcdef== end", "token=short passwd:'abcdef'", "A" * 40 + " no digit", "path/to/file/number/12345/x"]
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").unionAll(spark.createDataFrame([(10**6 + k, t) for k, t in enumerate(planted)], "doc_id long, text string"))
+    for r in secrets.scan(docs, forest).join(docs, "doc_id").collect():
+        want = candidates_by_hand(r["text"] or "")
+        assert r["n_candidates"] == len(want), r["text"]
+        assert [want[s["ordinal"]] for s in r["secrets"]] == [s["value"] for s in r["secrets"]]
+        left = r["text"]
+        for s in r["secrets"]:
+            left = left.replace(s["value"], "<SECRET>", 1)
+        assert r["redacted"] == left
+
+
 def test_registry_names():
     from mlframe.llm import registry
 
