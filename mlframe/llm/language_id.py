@@ -64,22 +64,33 @@ def grams(line: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Table:
-    """Sorted hashes of n-grams with one row of log-probabilities (or of back-off logs) over the languages."""
+    """Sorted hashes of n-grams with one row of log-probabilities (or of back-off logs) over the languages. ``first`` has the place of the first hash for each value of the upper bits, about two for each hash: a key is a step or two from there."""
 
-    hashes: np.ndarray
+    hashes: np.ndarray  # and the largest number behind them
     rows: np.ndarray
+    first: np.ndarray
+    shift: np.uint64
 
     @classmethod
     def of(cls, keys: np.ndarray, rows: np.ndarray) -> Table:
         hashes = mix64(keys)
         order = np.argsort(hashes)
-        return cls(hashes[order], rows[order].astype(np.float32))
+        hashes, bits = hashes[order], max(1, len(keys).bit_length())
+        first = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
+        return cls(np.append(hashes, np.uint64(0xFFFFFFFFFFFFFFFF)), rows[order].astype(np.float32), first, np.uint64(64 - bits))
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers, and whether the key is there."""
         hashes = mix64(keys)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return at, self.hashes[at] == hashes
+        at = self.first[hashes >> self.shift]
+        here = self.hashes[at]
+        before = np.flatnonzero(here < hashes)
+        while len(before):
+            at[before] += 1
+            here[before] = self.hashes[at[before]]
+            before = before[here[before] < hashes[before]]
+        inside = at < len(self.rows)
+        return np.where(inside, at, 0), (here == hashes) & inside
 
 
 @dataclass
